@@ -4,13 +4,27 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from colloqua.llm import conversations
+from colloqua.llm import conversations, encoding
 from colloqua.session import table
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _garbled(spark, sf_dir).select("src_table", "record_id")
+
+
+def p3_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same records with their restored text, null where nothing can be restored."""
+    return _garbled(spark, sf_dir)
+
+
+def _garbled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = (("conversations", "message_id", "text"), ("reddit_comments", "id", "body"), ("reddit_posts", "id", "title"))
+    return encoding.found([(name, table(spark, sf_dir, name), key, text) for name, key, text in columns])
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.rebuild(table(spark, sf_dir, "conversations")).select("conv_id", "position", "message_id")
 
 
-QUERIES = {"p5_found": p5_found}
+QUERIES = {"p3_found": p3_found, "p3_restored": p3_restored, "p5_found": p5_found}
 SQL: dict[str, str] = {}
