@@ -177,7 +177,7 @@ def examine(text: str | None) -> tuple[bool, str | None]:
     return True, None if lost else fixed
 
 
-_MIXED = re.compile("[âÃÂÐÑðŃĂŢвГ√Р├Γ\x80-\x9f]|[À-ÿ]{4}")
+_MIXED = re.compile("[âÃÂÐÑðŃĂŢвГ√Р├Γ\x80-\x9f]|[À-ÿ]{4}|[–—][^\\s\\w]")
 
 
 def mend(text: str) -> str:

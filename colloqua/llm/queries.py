@@ -3,11 +3,43 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from colloqua.llm import conversations, encoding
+from colloqua.llm import conversations, encoding, langid, pii
 from colloqua.session import table
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.found(_personal(spark, sf_dir))
+
+
+def p1_sanitised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text with typed placeholders in place of personal data."""
+    return pii.sanitised(_personal(spark, sf_dir))
+
+
+def _personal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.fields(table(spark, sf_dir, "conversations"), table(spark, sf_dir, "reddit_comments"))
+
+
+def _language_model(spark: SparkSession, sf_dir: str) -> langid.Model:
+    return langid.fit_model(table(spark, sf_dir, "conversations"), "text", "lang", "message_id")
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = _language_model(spark, sf_dir)
+    messages = langid.mislabelled_messages(table(spark, sf_dir, "conversations"), model)
+    chats = langid.mislabelled_chats(table(spark, sf_dir, "conversations_raw"), model)
+    first = messages.select(F.lit("message").alias("record_kind"), "record_id", "segment_no", "lang")
+    return first.unionByName(chats.select(F.lit("conversation").alias("record_kind"), "record_id", F.lit(0).alias("segment_no"), "lang"))
+
+
+def p2_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every segment of every message with its language and confidence."""
+    rows = table(spark, sf_dir, "conversations")
+    return langid.message_segments(rows, _language_model(spark, sf_dir)).dropDuplicates(["record_id", "segment_no"])
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _garbled(spark, sf_dir).select("src_table", "record_id")
 
@@ -26,5 +58,5 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.rebuild(table(spark, sf_dir, "conversations")).select("conv_id", "position", "message_id")
 
 
-QUERIES = {"p3_found": p3_found, "p3_restored": p3_restored, "p5_found": p5_found}
+QUERIES = {"p1_found": p1_found, "p1_sanitised": p1_sanitised, "p2_found": p2_found, "p2_segments": p2_segments, "p3_found": p3_found, "p3_restored": p3_restored, "p5_found": p5_found}
 SQL: dict[str, str] = {}
