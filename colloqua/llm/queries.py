@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colloqua.llm import conversations, encoding, langid, pii
+from colloqua.llm import conversations, defects, encoding, langid, pii
 from colloqua.session import table
 
 
@@ -54,9 +54,13 @@ def _garbled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding.found([(name, table(spark, sf_dir, name), key, text) for name, key, text in columns])
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return defects.found(table(spark, sf_dir, "semantic_alignment"), _language_model(spark, sf_dir))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.rebuild(table(spark, sf_dir, "conversations")).select("conv_id", "position", "message_id")
 
 
-QUERIES = {"p1_found": p1_found, "p1_sanitised": p1_sanitised, "p2_found": p2_found, "p2_segments": p2_segments, "p3_found": p3_found, "p3_restored": p3_restored, "p5_found": p5_found}
+QUERIES = {"p1_found": p1_found, "p1_sanitised": p1_sanitised, "p2_found": p2_found, "p2_segments": p2_segments, "p3_found": p3_found, "p3_restored": p3_restored, "p4_found": p4_found, "p5_found": p5_found}
 SQL: dict[str, str] = {}
