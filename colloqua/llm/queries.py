@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colloqua.llm import conversations, defects, encoding, langid, pii
+from colloqua.llm import conversations, defects, encoding, langid, leakage, pii
 from colloqua.session import table
 
 
@@ -62,5 +62,9 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.rebuild(table(spark, sf_dir, "conversations")).select("conv_id", "position", "message_id")
 
 
-QUERIES = {"p1_found": p1_found, "p1_sanitised": p1_sanitised, "p2_found": p2_found, "p2_segments": p2_segments, "p3_found": p3_found, "p3_restored": p3_restored, "p4_found": p4_found, "p5_found": p5_found}
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leakage.found(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select("doc_id", "item_id")
+
+
+QUERIES = {"p1_found": p1_found, "p1_sanitised": p1_sanitised, "p2_found": p2_found, "p2_segments": p2_segments, "p3_found": p3_found, "p3_restored": p3_restored, "p4_found": p4_found, "p5_found": p5_found, "p7_found": p7_found}
 SQL: dict[str, str] = {}
