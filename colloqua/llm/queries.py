@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colloqua.llm import conversations, defects, encoding, langid, leakage, pii
+from colloqua.llm import conversations, defects, encoding, langid, leakage, mixing, pii, subjects
 from colloqua.session import table
 
 
@@ -66,5 +66,28 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.found(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select("doc_id", "item_id")
 
 
-QUERIES = {"p1_found": p1_found, "p1_sanitised": p1_sanitised, "p2_found": p2_found, "p2_segments": p2_segments, "p3_found": p3_found, "p3_restored": p3_restored, "p4_found": p4_found, "p5_found": p5_found, "p7_found": p7_found}
+def _subjects(spark: SparkSession, sf_dir: str) -> subjects.Factors:
+    return subjects.fit(*(table(spark, sf_dir, t) for t in ("documents", "subject_labels", "subject_areas")))
+
+
+def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"), _subjects(spark, sf_dir))
+
+
+def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target and actual token share of each source."""
+    return mixing.report(p8_mix(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return subjects.found(table(spark, sf_dir, "documents"), _subjects(spark, sf_dir)).select("doc_id", "subject")
+
+
+def p9_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and mean share of each subject over the corpus."""
+    hits = subjects.found(table(spark, sf_dir, "documents"), _subjects(spark, sf_dir))
+    return hits.groupBy("subject").agg(F.count("*").alias("documents"), F.round(F.avg("share"), 4).alias("mean_share"))
+
+
+QUERIES = {"p1_found": p1_found, "p1_sanitised": p1_sanitised, "p2_found": p2_found, "p2_segments": p2_segments, "p3_found": p3_found, "p3_restored": p3_restored, "p4_found": p4_found, "p5_found": p5_found, "p7_found": p7_found, "p8_mix": p8_mix, "p8_report": p8_report, "p9_found": p9_found, "p9_composition": p9_composition}
 SQL: dict[str, str] = {}
