@@ -35,13 +35,17 @@ def cross_check(text: Column) -> Column:
     return F.substring(text, 1, 5)
 
 
+def listed(toks: Column, words_: str) -> Column:
+    """How many of the tokens are in a list; ``isin`` of a long list is a hash lookup, unlike array_contains."""
+    return F.size(F.filter(toks, lambda t: t.isin(*words_.split())))
+
+
 def proportions(toks: Column) -> Column:
     """struct of the share of each function-word category; all 0 without tokens."""
     n = F.size(toks)
 
     def share(category: str) -> Column:
-        listed = F.array(*[F.lit(w) for w in FUNCTION_WORDS[category].split()])
-        return F.when(n > 0, F.size(F.filter(toks, lambda t: F.array_contains(listed, t))) / n).otherwise(F.lit(0.0)).alias(category)
+        return F.when(n > 0, listed(toks, FUNCTION_WORDS[category]) / n).otherwise(F.lit(0.0)).alias(category)
 
     return F.struct(*[share(c) for c in FUNCTION_WORDS])
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from colloqua.functions.lexicons import FUNCTION_WORDS, NEGATIVE, POSITIVE
-from colloqua.functions.text import proportions, tokens, words
+from colloqua.functions.text import listed, proportions, tokens, words
 
 EPSILON = 1e-8
 
@@ -34,11 +34,9 @@ def cosine(left: Column, right: Column) -> Column:
     return F.aggregate(F.zip_with(left, right, lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def polarity(text: Column) -> Column:
-    """Lexicon polarity in [-1, 1], 0 without a listed word; the default in place of a neural classifier."""
-    toks = tokens(text)
-    count = lambda listed: F.size(F.filter(toks, lambda t: F.array_contains(F.array(*[F.lit(w) for w in listed.split()]), t)))
-    p, n = count(POSITIVE), count(NEGATIVE)
+def polarity(toks: Column) -> Column:
+    """Lexicon polarity of tokens in [-1, 1], 0 without a listed word; the default in place of a neural classifier."""
+    p, n = listed(toks, POSITIVE), listed(toks, NEGATIVE)
     return F.when(p + n > 0, (p - n) / (p + n)).otherwise(F.lit(0.0))
 
 
@@ -51,12 +49,17 @@ def token_estimate(text: Column) -> Column:
 
 
 def measured(pairs: DataFrame) -> DataFrame:
-    """The pairs with LSM, lexical Jaccard, both polarities, their similarity and the token total."""
+    """The pairs with LSM, lexical Jaccard, both polarities, their similarity and the token total.
+
+    Proportions stand in columns of their own, so each text is tokenised once and not once a category.
+    """
     u, a = F.col("user_text"), F.col("assistant_text")
     low = lambda t: words(F.lower(t))
-    polar = pairs.withColumn("user_sentiment", polarity(u)).withColumn("assistant_sentiment", polarity(a))
+    toks = pairs.withColumns({"_ut": tokens(u), "_at": tokens(a)})
+    polar = toks.withColumns({"_up": proportions(F.col("_ut")), "_ap": proportions(F.col("_at")), "user_sentiment": polarity(F.col("_ut")), "assistant_sentiment": polarity(F.col("_at"))})
     return (
-        polar.withColumn("lsm_score", lsm(proportions(tokens(u)), proportions(tokens(a))))
+        polar.withColumn("lsm_score", lsm(F.col("_up"), F.col("_ap")))
+        .drop("_ut", "_at", "_up", "_ap")
         .withColumn("lexical_jaccard", jaccard(low(u), low(a)))
         .withColumn("sentiment_similarity", polarity_similarity(F.col("user_sentiment"), F.col("assistant_sentiment")))
         .withColumn("n_tokens_total", token_estimate(u) + token_estimate(a))
