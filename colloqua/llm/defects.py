@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from colloqua.llm.langid import Model, Scorer, segments
+from colloqua.session import spread
 
 TYPES = ("empty_answer", "copied_question", "refusal", "wrong_language", "truncated_answer")
 SLOTS = 1 << 17
@@ -172,7 +173,7 @@ def endings(texts: DataFrame, column: str) -> Endings:
             s = np.flatnonzero(model.all[k])
             yield pd.DataFrame({"k": np.full(len(s), k), "slot": s, "ends": model.ends[k, s], "n": model.all[k, s]})
 
-    rows = texts.select(column).filter(F.col(column).isNotNull()).mapInPandas(count, "k int, slot int, ends long, n long")
+    rows = spread(texts.select(column).filter(F.col(column).isNotNull())).mapInPandas(count, "k int, slot int, ends long, n long")
     total = rows.groupBy("k", "slot").agg(F.sum("ends").alias("ends"), F.sum("n").alias("n")).toPandas()
     out = Endings()
     k, s = total["k"].to_numpy(dtype=np.int64), total["slot"].to_numpy(dtype=np.int64)
@@ -239,5 +240,5 @@ def found(pairs: DataFrame, languages: Model) -> DataFrame:
                     out.append((conv, turn, kind))
             yield pd.DataFrame(out, columns=["conv_id", "turn", "defect_type"])
 
-    hits = picked.mapInPandas(run, "conv_id string, turn int, defect_type string")
+    hits = spread(picked).mapInPandas(run, "conv_id string, turn int, defect_type string")
     return hits.groupBy("conv_id", "turn").agg(F.min("defect_type").alias("defect_type"))

@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from colloqua.llm.conversations import clean_role
 from colloqua.llm.encoding import mend
+from colloqua.session import spread
 
 LANGUAGES = ("en", "de", "fr", "es", "pt", "it", "nl", "ru")
 BUCKETS, DIM = 1 << 16, 16
@@ -300,7 +301,7 @@ def message_segments(rows: DataFrame, model: Model, key: str = "message_id", tex
                     ids.append(key_), nos.append(i), langs.append(la), sizes.append(size), conf.append(c), stored.append(lab)
             yield pd.DataFrame({"record_id": ids, "stored": stored, "segment_no": nos, "lang": langs, "n_chars": sizes, "confidence": conf})
 
-    return picked.mapInPandas(run, "record_id string, stored string, segment_no int, lang string, n_chars int, confidence double")
+    return spread(picked).mapInPandas(run, "record_id string, stored string, segment_no int, lang string, n_chars int, confidence double")
 
 
 def mislabelled_messages(rows: DataFrame, model: Model) -> DataFrame:
@@ -319,7 +320,7 @@ def mislabelled_messages(rows: DataFrame, model: Model) -> DataFrame:
                     out += [(key, i, la, c) for i, (la, _, c) in enumerate(segs)]
             yield pd.DataFrame(out, columns=["record_id", "segment_no", "lang", "confidence"])
 
-    found = picked.mapInPandas(run, "record_id string, segment_no int, lang string, confidence double")
+    found = spread(picked).mapInPandas(run, "record_id string, segment_no int, lang string, confidence double")
     return found.dropDuplicates(["record_id", "segment_no"])
 
 
@@ -347,5 +348,5 @@ def mislabelled_chats(raw: DataFrame, model: Model) -> DataFrame:
                 lo = hi
             yield pd.DataFrame(out, columns=["record_id", "lang", "confidence"])
 
-    found = chats.mapInPandas(run, "record_id string, lang string, confidence double")
+    found = spread(chats).mapInPandas(run, "record_id string, lang string, confidence double")
     return found.groupBy("record_id").agg(F.max(F.struct("confidence", "lang")).alias("m")).select("record_id", "m.lang", "m.confidence")

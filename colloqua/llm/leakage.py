@@ -30,6 +30,8 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 
+from colloqua.session import spread
+
 WINDOW, RADIUS, BITS = 5, 3, 64
 #: Items that share a sentence from which it is an instruction.
 SHARED = 3
@@ -210,6 +212,6 @@ def found(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
                     res += [(ids[lo + d], k, s) for d, k, s in scan(index, texts[lo : lo + 500], signs)]
                 yield pd.DataFrame(res, columns=["doc_id", "item_id", "share"])
 
-        hits = picked.mapInPandas(run, "doc_id long, item_id long, share double")
+        hits = spread(picked).mapInPandas(run, "doc_id long, item_id long, share double")
         out = hits if out is None else out.unionByName(hits)
     return out.groupBy("doc_id", "item_id").agg({"share": "max"}).withColumnRenamed("max(share)", "share")

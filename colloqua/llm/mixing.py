@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from colloqua.llm.subjects import INNER, Factors, _matrix, _Slots, mixtures
-from colloqua.session import checkpoint
+from colloqua.session import checkpoint, spread
 
 #: Vocabulary file of the tokenizer that sizes are counted with, and its splitting pattern (a fixed value).
 VOCABULARY = os.environ.get("COLLOQUA_VOCABULARY", "/opt/tokenizers/byte_bpe_50k.tiktoken")
@@ -67,7 +67,7 @@ def described(documents: DataFrame, factors: Factors, vocabulary: str = VOCABULA
             tokens = [len(enc.encode_ordinary(t)) for t in texts]
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "source": pdf["source"], "lang": pdf["lang"], "topic": topics or "none", "tokens": tokens})
 
-    rows = picked.mapInPandas(run, "doc_id long, source string, lang string, topic string, tokens long")
+    rows = spread(picked).mapInPandas(run, "doc_id long, source string, lang string, topic string, tokens long")
     return rows.dropDuplicates(["doc_id"])
 
 

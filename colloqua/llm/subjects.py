@@ -26,6 +26,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from colloqua.session import spread
+
 SLOTS = 1 << 16
 #: Most labelled documents that seeds are taken from.
 LABELLED = 20_000
@@ -100,7 +102,7 @@ def frequencies(documents: DataFrame) -> tuple[np.ndarray, int]:
         at = np.flatnonzero(df)
         yield pd.DataFrame({"slot": np.append(at, -1), "df": np.append(df[at], n)})
 
-    rows = documents.select("text").filter("text is not null").mapInPandas(count, "slot int, df long")
+    rows = spread(documents.select("text").filter("text is not null")).mapInPandas(count, "slot int, df long")
     total = rows.groupBy("slot").agg(F.sum("df").alias("df")).toPandas()
     df = np.zeros(SLOTS, np.int64)
     at = total["slot"].to_numpy(dtype=np.int64)
@@ -169,7 +171,7 @@ def fit(documents: DataFrame, labels: DataFrame, areas: DataFrame, passes: int =
             at = np.flatnonzero(total.sum(axis=1))
             yield pd.DataFrame({"slot": at, **{f"c{i}": total[at, i] for i in range(k)}})
 
-        rows = documents.select("text").filter("text is not null").mapInPandas(update, "slot int, " + ", ".join(f"{c} double" for c in columns))
+        rows = spread(documents.select("text").filter("text is not null")).mapInPandas(update, "slot int, " + ", ".join(f"{c} double" for c in columns))
         summed = rows.groupBy("slot").agg(*[F.sum(c).alias(c) for c in columns]).toPandas()  # at most SLOTS rows
         new = np.zeros_like(h)
         new[:, summed["slot"].to_numpy(dtype=np.int64)] = summed[columns].to_numpy().T
@@ -198,7 +200,7 @@ def shares(documents: DataFrame, factors: Factors) -> DataFrame:
             yield pd.DataFrame(out, columns=["doc_id", "subject", "share"])
 
     picked = documents.select("doc_id", "text").filter("doc_id is not null and text is not null")
-    return picked.mapInPandas(run, "doc_id long, subject string, share double")
+    return spread(picked).mapInPandas(run, "doc_id long, subject string, share double")
 
 
 def found(documents: DataFrame, factors: Factors, share: float = SHARE) -> DataFrame:
