@@ -25,6 +25,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from colloqua.session import checkpoint, spread
+
 KINDS = ("email", "phone", "id_number", "address", "name")
 #: Bits a term must tell about a person, and how often it must have been seen to tell it.
 BITS, LEAST_SEEN = 4.5, 2
@@ -172,7 +174,7 @@ def disclosing(texts: DataFrame, column: str) -> tuple[np.ndarray, np.ndarray]:
         yield rows()
 
     counts = texts.select(column).filter(F.col(column).isNotNull()).mapInPandas(count, "term string, n long, given long, family long")
-    totals = counts.groupBy("term").agg(*[F.sum(c).alias(c) for c in ("n", "given", "family")])
+    totals = checkpoint(counts.groupBy("term").agg(*[F.sum(c).alias(c) for c in ("n", "given", "family")]))  # used twice
     sums = totals.agg(F.sum("n").alias("n"), F.sum("given").alias("given")).first()
     if not sums["n"] or not sums["given"]:
         return np.zeros(SLOTS // 8, np.uint8), np.zeros(SLOTS // 8, np.uint8)
@@ -309,7 +311,7 @@ def found(texts: DataFrame) -> DataFrame:
                 out += [(src, field, key, k) for k in kinds]
             yield pd.DataFrame(out, columns=["src_table", "field", "record_id", "pii_type"])
 
-    return texts.mapInPandas(run, "src_table string, field string, record_id string, pii_type string").distinct()
+    return spread(texts).mapInPandas(run, "src_table string, field string, record_id string, pii_type string").distinct()
 
 
 def sanitised(texts: DataFrame) -> DataFrame:
