@@ -18,11 +18,11 @@ from __future__ import annotations
 
 import re
 import unicodedata
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -56,6 +56,8 @@ REFUSALS = (
     r"к сожалению|не могу|извините|прошу прощения|вынужден[аы]? отказ",
 )
 _REFUSAL = re.compile("|".join(REFUSALS), re.I)
+#: A piece of text that every phrase above holds: tested first, because it is cheap.
+_HINTS = ("can't", "can’t", "cannot", "cann", "cant ", "won't", "won’t", "will not", "unable", "not able", "not in a position", "decline", "refus", "against my", "against our", "as an ai", "language model", "something i", "apologies", "have to pass", "comfortable", "safety reasons", "modèle de langage", "sprachmodell", "modelo de l", "modello ling", "taalmodel", "языков", "nicht", "tut mir leid", "verstößt", "lehne", "ablehnen", "désolé", "ne peux", "en mesure", "regrette", "impossible", "mes règles", "mes principes", "mes consignes", "siento", "no puedo", "no me es", "condiciones", "en contra", "negarme", "rechazar", "não posso", "não consigo", "não me é", "desculp", "lamento", "sinto muito", "dispiace", "non posso", "non sono in grado", "non mi è", "spijt", "niet", "сожалени", "не могу", "извините", "прощения", "вынужден")
 #: Words an answer may hold beside its refusing sentences.
 REFUSAL_REST, REFUSAL_WORDS = 16, 60
 #: Names of the languages in the languages (fixed values).
@@ -104,14 +106,32 @@ def is_copy(question: str | None, answer: str) -> bool:
 
 
 def is_refusal(answer: str) -> bool:
-    if not _REFUSAL.search(answer) or len(_WORD.findall(answer)) > REFUSAL_WORDS:
+    low = answer.lower()
+    if not any(h in low for h in _HINTS) or len(_WORD.findall(answer)) > REFUSAL_WORDS or not _REFUSAL.search(answer):
         return False
     rest = [s for line in answer.split("\n") for s in _SENTENCE.split(line) if not _REFUSAL.search(s)]
     return sum(len(_WORD.findall(s)) for s in rest) <= REFUSAL_REST
 
 
-def _slot(words: list[str]) -> int:
-    return zlib.crc32("\x00".join(words).encode()) & (SLOTS - 1)
+class _Hashes(dict):
+    def __missing__(self, word: str) -> int:
+        h = xxhash.xxh64_intdigest(word)
+        if len(self) > 300_000:
+            self.clear()
+        self[word] = h
+        return h
+
+
+#: Odd multipliers that tell the places of a context's words apart (fixed values).
+_PLACES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], dtype=np.uint64)
+
+
+def _slots(hashes: list[np.ndarray]) -> np.ndarray:
+    """Slot of each context; ``hashes``: the words' hashes, the last word first."""
+    key = hashes[0] * _PLACES[0]
+    for h, m in zip(hashes[1:], _PLACES[1:]):
+        key = key + h * m
+    return ((key ^ (key >> np.uint64(29))) & np.uint64(SLOTS - 1)).astype(np.int64)
 
 
 #: Contexts of the model: how many of the last words stand free, and how many words before those are fixed.
@@ -130,27 +150,35 @@ class Endings:
     def __init__(self) -> None:
         self.ends, self.all = np.zeros((len(CONTEXTS), SLOTS), np.int64), np.zeros((len(CONTEXTS), SLOTS), np.int64)
 
-    def add(self, text: str) -> None:
-        units = [u for line in text.split("\n") for u in _SENTENCE.split(line) if u and not u.isspace()]
-        for unit in units[:-1]:
-            w = _WORD.findall(unit.lower())
-            for i in range(1, len(w)):
-                last = i == len(w) - 1
-                for k, (free, fixed) in enumerate(CONTEXTS):
-                    if i + 1 >= free + fixed:
-                        s = _slot(w[i + 1 - free - fixed : i + 1 - free])
-                        self.all[k, s] += 1
-                        self.ends[k, s] += last
+    def add(self, texts: list[str]) -> None:
+        of, flat, sizes = _Hashes().__getitem__, [], []
+        for text in texts:
+            units = [u for line in text.split("\n") for u in _SENTENCE.split(line) if u and not u.isspace()]
+            for unit in units[:-1]:
+                words = _WORD.findall(unit.lower())
+                flat.extend(map(of, words))
+                sizes.append(len(words))
+        if not flat:
+            return
+        n = np.array(sizes, dtype=np.int64)
+        h, end = np.array(flat, dtype=np.uint64), np.cumsum(n)
+        place = np.arange(len(h)) - np.repeat(end - n, n)
+        last = place == np.repeat(n, n) - 1
+        for k, (free, fixed) in enumerate(CONTEXTS):
+            at = np.flatnonzero(place >= max(1, free + fixed - 1))
+            s = _slots([h[at - free - j] for j in range(fixed)])
+            self.all[k] += np.bincount(s, minlength=SLOTS)
+            self.ends[k] += np.bincount(s[last[at]], minlength=SLOTS)
 
     def probability(self, text: str) -> float:
         w = _WORD.findall(text.lower()[-300:])
         if not w:
             return 1.0
-        base = self.ends[0].sum() / max(1, self.all[0].sum())
-        p = base
+        base = self.base = getattr(self, "base", None) or self.ends[0].sum() / max(1, self.all[0].sum())
+        p, h = base, [np.array([xxhash.xxh64_intdigest(x)], dtype=np.uint64) for x in w[-6:]]
         for k, (free, fixed) in enumerate(CONTEXTS):
             if len(w) >= free + fixed:
-                s = _slot(w[len(w) - free - fixed : len(w) - free])
+                s = _slots([h[len(h) - 1 - free - j] for j in range(fixed)])[0]
                 n = self.all[k, s]
                 if k == 0:
                     p = (self.ends[k, s] + base) / (n + 1)
@@ -167,8 +195,9 @@ def endings(texts: DataFrame, column: str) -> Endings:
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = Endings()
         for pdf in batches:
-            for t in pdf[column]:
-                model.add(t)
+            texts = list(pdf[column])
+            for lo in range(0, len(texts), 2000):
+                model.add(texts[lo : lo + 2000])
         for k in range(len(CONTEXTS)):
             s = np.flatnonzero(model.all[k])
             yield pd.DataFrame({"k": np.full(len(s), k), "slot": s, "ends": model.ends[k, s], "n": model.all[k, s]})
