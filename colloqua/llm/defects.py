@@ -267,7 +267,8 @@ def found(pairs: DataFrame, languages: Model) -> DataFrame:
                 kind = defect(q, a, ends.value, {s[0] for s in sq}, lang)
                 if kind:
                     out.append((conv, turn, kind))
-            yield pd.DataFrame(out, columns=["conv_id", "turn", "defect_type"])
+            if out:
+                yield pd.DataFrame(out, columns=["conv_id", "turn", "defect_type"])
 
     hits = spread(picked).mapInPandas(run, "conv_id string, turn int, defect_type string")
     return hits.groupBy("conv_id", "turn").agg(F.min("defect_type").alias("defect_type"))

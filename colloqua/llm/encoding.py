@@ -196,7 +196,8 @@ def garbled(rows: DataFrame, key: Column, text: Column) -> DataFrame:
                 seen.clear()
             out = [seen.get(t) or seen.setdefault(t, examine(t)) for t in pdf["garbled"]]
             hit = [o[0] for o in out]
-            yield pd.DataFrame({"record_id": pdf["record_id"][hit], "garbled": pdf["garbled"][hit], "restored": [o[1] for o in out if o[0]]})
+            if any(hit):
+                yield pd.DataFrame({"record_id": pdf["record_id"][hit], "garbled": pdf["garbled"][hit], "restored": [o[1] for o in out if o[0]]})
 
     return suspects.mapInPandas(scan, "record_id string, garbled string, restored string")
 

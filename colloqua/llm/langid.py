@@ -67,7 +67,7 @@ class Model:
     bias: np.ndarray
     temperature: float
     threshold: float
-    accuracy: float
+    accuracy: float  # on held-out sentences whose label the first model shares, so better than on all
     languages: tuple[str, ...] = LANGUAGES
 
 
@@ -164,7 +164,7 @@ def train(texts: list[str], labels: list[str], seed: int = 7, epochs: int = 4) -
     if not rows:
         return Model(np.zeros((BUCKETS, k), np.float32), np.zeros(k, np.float32), 1.0, 1.0, 0.0)
     # the first model reads whole texts, of which most labels are right; its view and the label together clean the sentences
-    scores, b = _fit([sum(units, ()) for units, _ in rows], np.array([lab for _, lab in rows]), k, 4, seed, balance=False)
+    scores, b = _fit([sum(units, ()) for units, _ in rows], np.array([lab for _, lab in rows]), k, max(4, -(-40_000 // len(rows))), seed, balance=False)
     first, agreed = Scorer(Model(scores, b, 1.0, 0.0, 0.0)), {}
     units = sorted({(words, lab) for us, lab in rows for words in us})
     seen = first([" ".join(words) for words, _ in units])[0].argmax(axis=1)
@@ -299,7 +299,8 @@ def message_segments(rows: DataFrame, model: Model, key: str = "message_id", tex
             for key_, lab, segs in zip(pdf["record_id"], pdf["stored"], segments(list(pdf["text"]), scorer)):
                 for i, (la, size, c) in enumerate(segs):
                     ids.append(key_), nos.append(i), langs.append(la), sizes.append(size), conf.append(c), stored.append(lab)
-            yield pd.DataFrame({"record_id": ids, "stored": stored, "segment_no": nos, "lang": langs, "n_chars": sizes, "confidence": conf})
+            if ids:
+                yield pd.DataFrame({"record_id": ids, "stored": stored, "segment_no": nos, "lang": langs, "n_chars": sizes, "confidence": conf})
 
     return spread(picked).mapInPandas(run, "record_id string, stored string, segment_no int, lang string, n_chars int, confidence double")
 
@@ -318,7 +319,8 @@ def mislabelled_messages(rows: DataFrame, model: Model) -> DataFrame:
             for key, lab, segs in zip(pdf["record_id"], pdf["stored"], segments(list(pdf["text"]), scorer)):
                 if len(segs) > 1 or (segs and segs[0][0] != lab):
                     out += [(key, i, la, c) for i, (la, _, c) in enumerate(segs)]
-            yield pd.DataFrame(out, columns=["record_id", "segment_no", "lang", "confidence"])
+            if out:
+                yield pd.DataFrame(out, columns=["record_id", "segment_no", "lang", "confidence"])
 
     found = spread(picked).mapInPandas(run, "record_id string, segment_no int, lang string, confidence double")
     return found.dropDuplicates(["record_id", "segment_no"])
@@ -346,7 +348,8 @@ def mislabelled_chats(raw: DataFrame, model: Model) -> DataFrame:
                     if (la := scorer.model.languages[top]) != lab:
                         out.append((key, la, float(votes[top] / votes.sum())))
                 lo = hi
-            yield pd.DataFrame(out, columns=["record_id", "lang", "confidence"])
+            if out:
+                yield pd.DataFrame(out, columns=["record_id", "lang", "confidence"])
 
     found = spread(chats).mapInPandas(run, "record_id string, lang string, confidence double")
     return found.groupBy("record_id").agg(F.max(F.struct("confidence", "lang")).alias("m")).select("record_id", "m.lang", "m.confidence")

@@ -210,7 +210,8 @@ def found(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
                 ids, texts, res = list(pdf["doc_id"]), list(pdf["text"]), []
                 for lo in range(0, len(texts), 500):
                     res += [(ids[lo + d], k, s) for d, k, s in scan(index, texts[lo : lo + 500], signs)]
-                yield pd.DataFrame(res, columns=["doc_id", "item_id", "share"])
+                if res:
+                    yield pd.DataFrame(res, columns=["doc_id", "item_id", "share"])
 
         hits = spread(picked).mapInPandas(run, "doc_id long, item_id long, share double")
         out = hits if out is None else out.unionByName(hits)

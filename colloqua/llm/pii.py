@@ -171,7 +171,8 @@ def disclosing(texts: DataFrame, column: str) -> tuple[np.ndarray, np.ndarray]:
                         family[f] += 1
             if len(raw) > FLUSH:
                 yield rows()
-        yield rows()
+        if raw:
+            yield rows()
 
     counts = texts.select(column).filter(F.col(column).isNotNull()).mapInPandas(count, "term string, n long, given long, family long")
     totals = checkpoint(counts.groupBy("term").agg(*[F.sum(c).alias(c) for c in ("n", "given", "family")]))  # used twice
@@ -309,7 +310,8 @@ def found(texts: DataFrame) -> DataFrame:
                 else:
                     kinds = {k for *_, k in finder.mentions(text)}
                 out += [(src, field, key, k) for k in kinds]
-            yield pd.DataFrame(out, columns=["src_table", "field", "record_id", "pii_type"])
+            if out:
+                yield pd.DataFrame(out, columns=["src_table", "field", "record_id", "pii_type"])
 
     return spread(texts).mapInPandas(run, "src_table string, field string, record_id string, pii_type string").distinct()
 

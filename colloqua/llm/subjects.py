@@ -197,7 +197,8 @@ def shares(documents: DataFrame, factors: Factors) -> DataFrame:
                 for i in np.unique(d).tolist():
                     if mass[i] > 0.02:
                         out += [(ids[lo + i], f.subjects[s], float(w[i, s] / mass[i])) for s in np.flatnonzero(w[i, :k] >= 0.05 * mass[i])]
-            yield pd.DataFrame(out, columns=["doc_id", "subject", "share"])
+            if out:
+                yield pd.DataFrame(out, columns=["doc_id", "subject", "share"])
 
     picked = documents.select("doc_id", "text").filter("doc_id is not null and text is not null")
     return spread(picked).mapInPandas(run, "doc_id long, subject string, share double")
