@@ -13,8 +13,9 @@ COMMENTS = "id string, name string, subreddit string, author string, created_utc
 
 def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Records of a declared schema; blank and malformed lines are left out."""
-    rows = spark.read.schema(f"{schema}, _bad string").option("columnNameOfCorruptRecord", "_bad").option("mode", "PERMISSIVE").json(path)
-    return rows.filter("_bad is null").drop("_bad")
+    parsed = F.from_json("value", f"{schema}, _bad string", {"columnNameOfCorruptRecord": "_bad"})
+    rows = spark.read.text(path).filter(F.trim("value") != "").select(parsed.alias("r"))
+    return rows.filter("r is not null and r._bad is null").select("r.*").drop("_bad")
 
 
 def json_or_text(spark: SparkSession, path: str, schema: str) -> DataFrame:
