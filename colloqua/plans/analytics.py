@@ -514,7 +514,8 @@ _MARG = f"{_LONG}, marg AS (SELECT metric, topic, direction, abs(turn) AS abs_tu
 
 
 def _marginal(spark: SparkSession, d: str, *by: str) -> DataFrame:
-    long = stats.long_form(_merged(spark, d).withColumn("abs_turn", F.abs("turn")).filter("abs_turn <= 5"), ["conv_id", "topic", "direction", "abs_turn"], METRICS).filter("value is not null")
+    """Estimates over every turn. ``_MARG`` and the SQL of ``direction_contrast`` hold turns up to 5 only."""
+    long = stats.long_form(_merged(spark, d).withColumn("abs_turn", F.abs("turn")), ["conv_id", "topic", "direction", "abs_turn"], METRICS).filter("value is not null")
     return long.groupBy(*by).agg(F.avg("value").alias("estimate"), (F.stddev_samp("value") / F.sqrt(F.count("value").cast("double"))).alias("std_error"), F.countDistinct("conv_id").alias("weight"))
 
 

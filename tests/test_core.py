@@ -26,6 +26,15 @@ def test_same_as_sql(spark, name):
     assert compare(__spark_entry__.queries()[name](spark, SF), views(SF), __spark_entry__.oracle_sql()[name]) is None
 
 
+@pytest.mark.parametrize("name", ["direction_contrast", "weighted_topic_means"])
+def test_marginals_hold_every_turn(spark, name):
+    sql = __spark_entry__.oracle_sql()[name]
+    df, con = __spark_entry__.queries()[name](spark, SF), views(SF)
+    assert compare(df.filter("abs_turn <= 5"), con, sql) is None
+    whole = sql.replace(" AND abs(turn) <= 5", "")
+    assert whole != sql and df.filter("abs_turn > 5").count() > 0 and compare(df, con, whole) is None
+
+
 def _messages(spark, rows):
     return spark.createDataFrame([("c", i, f"c_{i}", r, t, None) for i, (r, t) in enumerate(rows)], "conv_id string, pos bigint, message_id string, role string, text string, model_slug string")
 
