@@ -78,17 +78,23 @@ def metadata_features(raw: DataFrame) -> DataFrame:
     ).distinct()
 
 
-def documents_of(messages: DataFrame, most: int = 20_000) -> DataFrame:
-    """Three views of a conversation (user, assistant, combined), messages that look like data left out, cut at ``most`` characters.
+def spoken(messages: DataFrame) -> DataFrame:
+    """conv_id, pos, role, text (trimmed) of user and assistant messages that are neither blank nor look like data."""
+    body = F.trim("text")
+    ok = not_blank(F.col("text")) & ~body.rlike(r"^[{\[]") & F.col("role").isin("user", "assistant")
+    return messages.filter(ok).select("conv_id", "pos", "role", body.alias("text"))
+
+
+def documents_of(messages: DataFrame, most: int | None = None) -> DataFrame:
+    """Three views of a conversation (user, assistant, combined), messages that look like data left out; whole unless ``most`` characters are given.
 
     Conversations empty in any view are dropped.
     """
-    body = F.trim("text")
-    ok = not_blank(F.col("text")) & ~body.rlike(r"^[{\[]") & F.col("role").isin("user", "assistant")
-    lines = messages.filter(ok).groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("pos", "role", body.alias("text")))).alias("ms"))
+    lines = spoken(messages).groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("pos", "role", "text"))).alias("ms"))
 
     def view(*roles: str) -> Column:
-        return F.substring(F.array_join(F.transform(F.filter("ms", lambda m: m["role"].isin(*roles)), lambda m: m["text"]), "\n"), 1, most)
+        text = F.array_join(F.transform(F.filter("ms", lambda m: m["role"].isin(*roles)), lambda m: m["text"]), "\n")
+        return text if most is None else F.substring(text, 1, most)
 
     views = lines.select("conv_id", view("user").alias("user_doc"), view("assistant").alias("assistant_doc"), view("user", "assistant").alias("combined_doc"))
     return views.filter("user_doc <> '' and assistant_doc <> '' and combined_doc <> ''")

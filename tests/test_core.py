@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from colloqua.functions import text as T
-from colloqua.operators import anonymise, collect, measures, merge, models, nested, pairs, stats
+from colloqua.operators import anonymise, collect, measures, merge, models, nested, pairs, stats, structure
 from colloqua.operators.models import ward
 from colloqua.sources import files, paged
 from colloqua.streaming import ingest
@@ -83,6 +83,13 @@ def test_measures_properties(spark, texts):
         assert 0 < r["x"] <= 1 and abs(r["x"] - r["y"]) < 1e-12 and (r["j"] is None or 0 <= r["j"] <= 1)
 
 
+def test_documents_are_whole(spark):
+    long = "word " * 5_000 + "end"
+    got = structure.documents_of(_messages(spark, [("user", long), ("assistant", long), ("user", "[1]")])).first()
+    assert got["user_doc"] == got["assistant_doc"] == long and got["combined_doc"] == f"{long}\n{long}"
+    assert len(structure.documents_of(_messages(spark, [("user", long), ("assistant", long)]), 100).first()["combined_doc"]) == 100
+
+
 def test_links_and_ids(spark):
     got = _one(spark, "see chat.example/share/x1 and HTTPS://chat.example/share/y http://www.chat.example/share/z", lambda c: collect.share_urls(c, ("chat.example",)))
     assert got == ["https://chat.example/share/x1", "https://HTTPS://chat.example/share/y", "http://www.chat.example/share/z"]
