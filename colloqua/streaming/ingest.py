@@ -1,4 +1,4 @@
-"""Landed records as a stream: duplicates dropped within a watermark, batches appended once."""
+"""Landed records as a stream: duplicates dropped whatever their age, batches appended once."""
 
 from __future__ import annotations
 
@@ -11,17 +11,23 @@ def landed(spark: SparkSession, path: str, schema: str, files: int = 50) -> Data
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).json(path)
 
 
-def deduplicated(rows: DataFrame, key: str = "id", time: str = "created_utc", late: str = "2 hours") -> DataFrame:
-    """First record of each key; a key is forgotten once the watermark has passed it."""
-    timed = rows.withColumn("event_time", F.timestamp_seconds(F.col(time)))
-    return timed.withWatermark("event_time", late).dropDuplicatesWithinWatermark([key])
+def deduplicated(rows: DataFrame, key: str = "id", time: str = "created_utc") -> DataFrame:
+    """One record of each key, with ``event_time``. No watermark: listings run from new to old, so an old record is not a late one.
+
+    Over a stream every key is kept as state; ``append_new`` needs no such state.
+    """
+    return rows.withColumn("event_time", F.timestamp_seconds(F.col(time))).dropDuplicates([key])
 
 
 def append_new(rows: DataFrame, to: str, checkpoint: str, key: str = "id") -> StreamingQuery:
-    """Append to Parquet what its folder does not hold yet; a repeated batch writes nothing twice."""
+    """Append to Parquet one record of each key that its folder does not hold yet; a repeated batch writes nothing twice.
+
+    Records without key cannot be told apart and are all kept.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
+        batch = batch.filter(F.col(key).isNotNull()).dropDuplicates([key]).unionByName(batch.filter(F.col(key).isNull()))
         try:
             batch = batch.join(spark.read.parquet(to).select(key), key, "left_anti")
         except Exception as e:  # the first batch has nothing to compare with

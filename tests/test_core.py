@@ -151,6 +151,18 @@ def test_sources_and_stream(spark, tmp_path):
     assert [r["id"] for r in paged.pages(fetch, 3)] == [str(i) for i in range(7)]
 
 
+def test_stream_keeps_older_records(spark, tmp_path):
+    src = tmp_path / "in"
+    src.mkdir()
+    for dedup in (ingest.deduplicated, lambda rows: rows):
+        at = tmp_path / f"out{dedup.__name__}"
+        for n, ids in enumerate([[("a", 900_000), ("b", 900_001), ("b", 900_001)], [("c", 5), ("a", 900_000), ("c", 5)]]):
+            (src / f"{n}.json").write_text("".join(json.dumps({"id": i, "created_utc": t}) + "\n" for i, t in ids))
+            rows = dedup(ingest.landed(spark, str(src), "id string, created_utc bigint", files=1))
+            ingest.append_new(rows, f"{at}/rows", f"{at}/cp").awaitTermination()
+        assert sorted(r["id"] for r in spark.read.parquet(f"{at}/rows").collect()) == ["a", "b", "c"]
+
+
 def test_anonymise(spark):
     out = _one(spark, "mail a.b@c.org or +1 202-555-0101, 12 Long Hill Road", anonymise.anonymised)
     assert out == "mail [email] or [phone], [address]"
