@@ -106,18 +106,49 @@ def smooth(rows: DataFrame, by: str, x: str, y: str, knots: int = 8, penalty: fl
     return cells.groupBy(by).applyInPandas(run, f"`{by}` {kind[by]}, `{x}` {kind[x]}, fit double, std_error double")
 
 
-def topic_model(docs: DataFrame, column: str, k: int = 10, words: int = 9, vocabulary: int = 20_000, iterations: int = 15, seed: int = 7):
-    """(docs with topic_id and topic_score, topics with keywords) from a seeded variational topic model on term counts."""
+def topic_model(messages: DataFrame, k: int = 30, words: int = 9, iterations: int = 15, seed: int = 7) -> DataFrame:
+    """conv_id, view, topic_id, topic_score, keywords of the views user, assistant and combined; ``messages``: conv_id, role, text.
+
+    Each view has its own seeded topic model, fitted by expectation maximisation: every pass reads every conversation. The
+    terms are all words of three letters or more without English stop words. They are counted by message and summed, so no text
+    is gathered. Conversations without user or without assistant messages are left out, as in ``documents_of``; one without
+    terms has topic 0 with score 0. The driver holds the vocabulary and ``k`` numbers a term.
+    """
     from pyspark.ml.clustering import LDA
-    from pyspark.ml.feature import CountVectorizer, StopWordsRemover
+    from pyspark.ml.feature import StopWordsRemover, StringIndexer
     from pyspark.ml.functions import vector_to_array
-
-    toks = docs.withColumn("_all", F.regexp_extract_all(F.lower(column), F.lit(r"(\p{L}{3,})"), F.lit(1)))
-    toks = StopWordsRemover(inputCol="_all", outputCol="_words").transform(toks)
-    counts = CountVectorizer(inputCol="_words", outputCol="_v", vocabSize=vocabulary, minDF=2.0).fit(toks)
-    model = LDA(k=k, maxIter=iterations, seed=seed, featuresCol="_v", optimizer="online").fit(counts.transform(toks))
-    v = vector_to_array("topicDistribution")
-    named = model.transform(counts.transform(toks)).withColumn("topic_score", F.array_max(v)).withColumn("topic_id", (F.array_position(v, F.col("topic_score")) - 1).cast("int"))
-    listed = counts.vocabulary
-    rows = [(r["topic"], " / ".join(listed[i] for i in r["termIndices"])) for r in model.describeTopics(words).collect()]  # k rows
-    return named.drop("_all", "_words", "_v", "topicDistribution"), docs.sparkSession.createDataFrame(rows, "topic_id int, keywords string")
+    from pyspark.ml.linalg import Vectors, VectorUDT
+
+    from colloqua.session import checkpoint
+
+    spark = messages.sparkSession
+    roles = messages.groupBy("conv_id").agg(F.collect_set("role").alias("r")).filter(F.array_contains("r", "user") & F.array_contains("r", "assistant")).select("conv_id")
+    split = messages.select("conv_id", "role", F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}{3,})"), F.lit(1)).alias("_all"))
+    kept = StopWordsRemover(inputCol="_all", outputCol="_words").transform(split)
+    counts = kept.select("conv_id", "role", F.explode("_words").alias("term")).groupBy("conv_id", "role", "term").agg(F.count("*").alias("n"))
+    counts = checkpoint(counts.join(roles, "conv_id", "left_semi"))
+    if counts.isEmpty():
+        return roles.crossJoin(spark.createDataFrame([(v,) for v in ("user", "assistant", "combined")], "view string")).select("conv_id", "view", F.lit(0).alias("topic_id"), F.lit(0.0).alias("topic_score"), F.lit(None).cast("string").alias("keywords"))
+    index = StringIndexer(inputCol="term", outputCol="i").fit(counts)
+    listed = index.labels
+    numbered = index.transform(counts).select("conv_id", "role", F.col("i").cast("int").alias("i"), "n")
+    size = len(listed)
+    vector = F.udf(lambda cells: Vectors.sparse(size, [(c["i"], float(c["n"])) for c in cells or ()]), VectorUDT())
+    out = None
+    for view, of in (("user", ["user"]), ("assistant", ["assistant"]), ("combined", ["user", "assistant"])):
+        cells = numbered.filter(F.col("role").isin(of)).groupBy("conv_id", "i").agg(F.sum("n").alias("n"))
+        docs = cells.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("i", "n"))).alias("cells"))
+        docs = checkpoint(roles.join(docs, "conv_id", "left").select("conv_id", F.size(F.coalesce("cells", F.array())).alias("terms"), vector("cells").alias("_v")))
+        fitted = docs.filter("terms > 0")
+        if fitted.isEmpty():
+            named = docs.select("conv_id", F.lit(0).alias("topic_id"), F.lit(0.0).alias("topic_score"), F.lit(None).cast("string").alias("keywords"))
+        else:
+            model = LDA(k=k, maxIter=iterations, seed=seed, featuresCol="_v", optimizer="em").fit(fitted)
+            rows = [(r["topic"], " / ".join(listed[i] for i in r["termIndices"])) for r in model.describeTopics(words).collect()]  # k rows
+            names = spark.createDataFrame(rows, "topic_id int, keywords string")
+            v = vector_to_array("topicDistribution")
+            scored = model.transform(docs).withColumn("topic_score", F.array_max(v)).withColumn("topic_id", (F.array_position(v, F.col("topic_score")) - 1).cast("int"))
+            named = scored.join(F.broadcast(names), "topic_id", "left").select("conv_id", "topic_id", "topic_score", "keywords")
+        named = named.select("conv_id", F.lit(view).alias("view"), "topic_id", "topic_score", "keywords")
+        out = named if out is None else out.unionByName(named)
+    return out

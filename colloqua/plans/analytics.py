@@ -244,8 +244,7 @@ def topic_documents(spark: SparkSession, d: str) -> DataFrame:
 
 @query("topic_model")
 def topic_model(spark: SparkSession, d: str) -> DataFrame:
-    docs, names = models.topic_model(structure.documents_of(_messages(spark, d)), "combined_doc")
-    return docs.join(F.broadcast(names), "topic_id").select("conv_id", "topic_id", _r("topic_score"), "keywords")  # k names
+    return models.topic_model(structure.spoken(_messages(spark, d))).select("conv_id", "view", "topic_id", _r("topic_score"), "keywords")
 
 
 @query("language_distribution", "WITH l AS (SELECT lower(split_part(replace(lang, '_', '-'), '-', 1)) AS language FROM (SELECT DISTINCT message_id, lang FROM conversations)) SELECT language, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (), 6) AS pct FROM l GROUP BY language ORDER BY n DESC, language NULLS FIRST LIMIT 10")

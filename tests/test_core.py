@@ -125,6 +125,15 @@ def test_statistics(spark):
     assert list(ward(__import__("numpy").array([[0.0], [0.1], [5.0], [5.1], [9.0]]), 3)) == [1, 1, 2, 2, 3]
 
 
+def test_topic_model_has_three_views_and_rare_terms(spark):
+    rows = [(f"c{c}", role, f"{'apple pear plum' if c % 2 else 'engine wheel brake'} {role}word once{'abcdefgh'[c]}") for c in range(8) for role in ("user", "assistant")]
+    df = spark.createDataFrame([*rows, ("alone", "user", "apple"), ("bare", "user", "1"), ("bare", "assistant", "the")], "conv_id string, role string, text string")
+    got = models.topic_model(df, k=2, words=50).collect()
+    assert {(r["conv_id"], r["view"]) for r in got} == {(c, v) for c in [*(f"c{i}" for i in range(8)), "bare"] for v in ("user", "assistant", "combined")}
+    words = {v: set(" / ".join(r["keywords"] for r in got if r["view"] == v and r["conv_id"] != "bare").split(" / ")) for v in ("user", "assistant", "combined")}
+    assert {f"once{x}" for x in "abcdefgh"} <= words["combined"] and "userword" in words["combined"] & words["user"]
+
+
 def test_gibbs_recovers_effects(spark):
     import numpy as np
 
