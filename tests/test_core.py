@@ -3,6 +3,7 @@
 import json
 import os
 
+import pyarrow.parquet as pq
 import pytest
 import regex
 from hypothesis import given, settings
@@ -14,6 +15,7 @@ import __spark_entry__
 from colloqua.functions import text as T
 from colloqua.operators import anonymise, collect, measures, merge, models, nested, pairs, stats, structure
 from colloqua.operators.models import ward
+from colloqua.plans import records
 from colloqua.sources import files, paged
 from colloqua.streaming import ingest
 
@@ -118,6 +120,59 @@ def test_nested_links_edges(spark):
     assert nested.parent_child_links(spark.createDataFrame([], _RAW)).count() == 0
 
 
+def _flat_by_hand(path):
+    """Rows of the flat tables by plain Python: keys, and the columns that the tables took on last."""
+    out = {n: set() for n in records.FLAT}
+    for r in pq.read_table(path).to_pylist():
+        s, meta = r["share_id"], r["conversation_metadata"] or {}
+        seen, model = meta.get("visibility_summary") or {}, meta.get("model") or {}
+        out["shares"].add((s, r["fetched_at"], meta.get("title"), model.get("slug"), meta.get("create_time"), meta.get("tool_call_count"), meta.get("file_count"), seen.get("hidden_messages")))
+        out["sources"] |= {(s, x["name"], x["author"], x["title"]) for x in r["reddit_sources"] or ()}
+        out["moderation"] |= {(s, x["id"], x["category"], x["score"]) for x in meta.get("moderation_results") or ()}
+        out["tools"] |= {(s, x) for x in meta.get("tools_used") or ()}
+        for n, k in (("safe_urls", "safe_urls"), ("file_types", "file_types")):
+            out[n] |= {(s, i, x) for i, x in enumerate(meta.get(k) or ())}
+        for i, m in enumerate(r["messages"] or ()):
+            out["messages"].add((s, r["fetched_at"], i, m["node_id"], m["role"], m["text"], m["status"]))
+            out["message_children"] |= {(s, r["fetched_at"], i, j, x) for j, x in enumerate(m["children"] or ())}
+        try:
+            body = json.loads(r["api_response"])
+            body = json.loads(body) if isinstance(body, str) else body
+        except (TypeError, ValueError):
+            continue
+        out["payloads"].add((s, body.get("title"), body.get("current_node")))
+        out["payload_safe_urls"] |= {(s, i, x) for i, x in enumerate(body.get("safe_urls") or ())}
+        for k, n in (body.get("mapping") or {}).items():
+            m = n.get("message") or {}
+            about, said = m.get("metadata") or {}, m.get("content") or {}
+            result = about.get("aggregate_result") or {}
+            out["nodes"].add((s, k, n.get("parent"), (m.get("author") or {}).get("name"), m.get("create_time"), m.get("status"), result.get("status")))
+            files = about.get("attachments") or ()
+            for name, xs, of in (
+                ("parts", said.get("parts"), lambda x: x if isinstance(x, str) else None), ("thoughts", said.get("thoughts"), lambda x: x.get("summary")), ("citations", about.get("citations"), lambda x: (x.get("metadata") or {}).get("title")),
+                ("attachments", [files] if isinstance(files, dict) else files, lambda x: x.get("name")), ("children", n.get("children"), lambda x: x), ("runs", result.get("runs"), lambda x: x.get("ms")),
+            ):
+                out[name] |= {(s, k, i, of(x)) for i, x in enumerate(xs or ()) if x is not None}
+    return out
+
+
+_FLAT_COLUMNS = {
+    "shares": ["share_id", "fetched_at", "conversation_metadata_title", "conversation_metadata_model_slug", "conversation_metadata_create_time", "conversation_metadata_tool_call_count", "conversation_metadata_file_count", "conversation_metadata_visibility_summary_hidden_messages"],
+    "sources": ["share_id", "name", "author", "title"], "moderation": ["share_id", "id", "category", "score"], "tools": ["share_id", "tool"], "safe_urls": ["share_id", "pos", "url"], "file_types": ["share_id", "pos", "file_type"],
+    "messages": ["share_id", "fetched_at", "pos", "node_id", "role", "text", "status"], "message_children": ["share_id", "fetched_at", "pos", "child_pos", "child"], "payloads": ["share_id", "title", "current_node"], "payload_safe_urls": ["share_id", "pos", "url"],
+    "nodes": ["share_id", "node_id", "parent", "author_name", "create_time", "status", "get_json_object(aggregate_result, '$.status')"], "parts": ["share_id", "node_id", "pos", "if(text like '{%', null, text)"], "thoughts": ["share_id", "node_id", "pos", "summary"],
+    "citations": ["share_id", "node_id", "pos", "title"], "attachments": ["share_id", "node_id", "pos", "name"], "children": ["share_id", "node_id", "pos", "child"], "runs": ["share_id", "node_id", "pos", "ms"],
+}
+
+
+def test_flat_tables_by_hand(spark):
+    want, q = _flat_by_hand(f"{SF}/conversations_raw.parquet"), __spark_entry__.queries()
+    for name, columns in _FLAT_COLUMNS.items():
+        got = {tuple(r) for r in q[f"p6_{name}"](spark, SF).selectExpr(*columns).collect()}
+        assert got == want[name], (name, list(got - want[name])[:2], list(want[name] - got)[:2])
+    assert sum(map(bool, want.values())) >= 15
+
+
 def test_statistics(spark):
     assert abs(stats.student_p(2.0, 10) - 0.07338803) < 1e-6
     df = spark.createDataFrame([("m", 1, 3.0), ("m", 1, 3.0), ("m", 1, 1.0)], "metric string, draw int, value double")
