@@ -7,8 +7,9 @@ not if the question names the answer's language); ``truncated_answer`` (open cod
 context texts of this corpus go on rather than end).
 
 The terminal-context model counts, over all answers, how often each last word and pair of last words ends a sentence or line.
-It lives in ``SLOTS`` hashed slots, so its size does not grow with the corpus. Only ends inside a text are counted, because
-the last one may itself be cut.
+Contexts are told apart by 64-bit hashes and counted exactly, but only those that some open ending asks for: a bitmap of fixed
+size lets the others out before they are shuffled, and the counts are joined. Only ends inside a text are counted, because the
+last one may itself be cut.
 
 Defined results: pairs without positive turn or without conv_id are left out; repeat rows count once; a null question makes
 no copy and no wrong language; texts are read whole; an empty table gives no rows; further columns are ignored.
@@ -28,10 +29,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from colloqua.llm.langid import Model, Scorer, segments
-from colloqua.session import spread
+from colloqua.session import checkpoint, spread
 
 TYPES = ("empty_answer", "copied_question", "refusal", "wrong_language", "truncated_answer")
-SLOTS = 1 << 17
+#: Bits of the filter; if many contexts share a bit, more rows are shuffled and no count changes.
+FILTER_BITS = 1 << 27
 #: Share of bytes left by compression, and of word triples known from the question, at which an answer is a copy.
 COPY_LEFT, COPY_KNOWN = 0.5, 0.8
 #: Probability of an end below which an answer without closing sign is cut: items of lists, other lines.
@@ -126,12 +128,12 @@ class _Hashes(dict):
 _PLACES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], dtype=np.uint64)
 
 
-def _slots(hashes: list[np.ndarray]) -> np.ndarray:
-    """Slot of each context; ``hashes``: the words' hashes, the last word first."""
-    key = hashes[0] * _PLACES[0]
+def _keys(k: int, hashes: list[np.ndarray]) -> np.ndarray:
+    """64-bit key of each context of kind ``k``; ``hashes``: the words' hashes, the last word first."""
+    key = hashes[0] * _PLACES[0] + np.uint64(0xD6E8FEB86659FD93 * (k + 1) % (1 << 64))
     for h, m in zip(hashes[1:], _PLACES[1:]):
         key = key + h * m
-    return ((key ^ (key >> np.uint64(29))) & np.uint64(SLOTS - 1)).astype(np.int64)
+    return (key ^ (key >> np.uint64(29))).view(np.int64)
 
 
 #: Contexts of the model: how many of the last words stand free, and how many words before those are fixed.
@@ -140,77 +142,116 @@ CONTEXTS = ((0, 1), (0, 2), (1, 3), (2, 3), (3, 3))
 LEAST_CONTEXT = 5
 
 
+def context_keys(text: str) -> list[int | None]:
+    """Key of the context of each kind at the end of ``text``, None where it has too few words; empty without words."""
+    w = _WORD.findall(text.lower()[-300:])
+    h = [np.array([xxhash.xxh64_intdigest(x)], dtype=np.uint64) for x in w[-6:]]
+    return [int(_keys(k, [h[len(h) - 1 - free - j] for j in range(fixed)])[0]) if len(w) >= free + fixed else None for k, (free, fixed) in enumerate(CONTEXTS)] if w else []
+
+
+def _counted(texts: list[str], bits: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, int, int]:
+    """Keys of the contexts inside ``texts``, their ends and occurrences, and both over all single words; ``bits``: keys to keep."""
+    of, flat, sizes = _Hashes().__getitem__, [], []
+    for text in texts:
+        units = [u for line in text.split("\n") for u in _SENTENCE.split(line) if u and not u.isspace()]
+        for unit in units[:-1]:
+            words = _WORD.findall(unit.lower())
+            flat.extend(map(of, words))
+            sizes.append(len(words))
+    if not flat:
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64), 0, 0
+    n = np.array(sizes, dtype=np.int64)
+    h, end = np.array(flat, dtype=np.uint64), np.cumsum(n)
+    place = np.arange(len(h)) - np.repeat(end - n, n)
+    last = place == np.repeat(n, n) - 1
+    keys, ends, base = [], [], (0, 0)
+    for k, (free, fixed) in enumerate(CONTEXTS):
+        at = np.flatnonzero(place >= max(1, free + fixed - 1))
+        key, is_end = _keys(k, [h[at - free - j] for j in range(fixed)]), last[at]
+        if k == 0:
+            base = int(is_end.sum()), len(at)
+        if bits is not None:
+            slot = key & np.int64(FILTER_BITS - 1)
+            kept = (bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 > 0
+            key, is_end = key[kept], is_end[kept]
+        keys.append(key), ends.append(is_end)
+    each, which, total = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
+    return each, np.bincount(which, np.concatenate(ends), len(each)).astype(np.int64), total, *base
+
+
 class Endings:
-    """How often a context of last words ends a sentence or line, in hashed slots.
+    """How often a context of last words ends a sentence or line.
 
     Beside the last word and pair of words there are contexts whose last one to three words are free, so that "half is the
-    <any> <any>" is known to end a sentence whatever the two words are.
+    <any> <any>" is known to end a sentence whatever the two words are. Held whole, so for a few texts only.
     """
 
     def __init__(self) -> None:
-        self.ends, self.all = np.zeros((len(CONTEXTS), SLOTS), np.int64), np.zeros((len(CONTEXTS), SLOTS), np.int64)
+        self.counts: dict[int, tuple[int, int]] = {}
+        self.base_ends = self.base_all = 0
 
     def add(self, texts: list[str]) -> None:
-        of, flat, sizes = _Hashes().__getitem__, [], []
-        for text in texts:
-            units = [u for line in text.split("\n") for u in _SENTENCE.split(line) if u and not u.isspace()]
-            for unit in units[:-1]:
-                words = _WORD.findall(unit.lower())
-                flat.extend(map(of, words))
-                sizes.append(len(words))
-        if not flat:
-            return
-        n = np.array(sizes, dtype=np.int64)
-        h, end = np.array(flat, dtype=np.uint64), np.cumsum(n)
-        place = np.arange(len(h)) - np.repeat(end - n, n)
-        last = place == np.repeat(n, n) - 1
-        for k, (free, fixed) in enumerate(CONTEXTS):
-            at = np.flatnonzero(place >= max(1, free + fixed - 1))
-            s = _slots([h[at - free - j] for j in range(fixed)])
-            self.all[k] += np.bincount(s, minlength=SLOTS)
-            self.ends[k] += np.bincount(s[last[at]], minlength=SLOTS)
+        keys, ends, n, base_ends, base_all = _counted(texts)
+        for key, e, m in zip(keys.tolist(), ends.tolist(), n.tolist()):
+            a, b = self.counts.get(key, (0, 0))
+            self.counts[key] = a + e, b + m
+        self.base_ends, self.base_all = self.base_ends + base_ends, self.base_all + base_all
 
     def probability(self, text: str) -> float:
-        w = _WORD.findall(text.lower()[-300:])
-        if not w:
-            return 1.0
-        base = self.base = getattr(self, "base", None) or self.ends[0].sum() / max(1, self.all[0].sum())
-        p, h = base, [np.array([xxhash.xxh64_intdigest(x)], dtype=np.uint64) for x in w[-6:]]
-        for k, (free, fixed) in enumerate(CONTEXTS):
-            if len(w) >= free + fixed:
-                s = _slots([h[len(h) - 1 - free - j] for j in range(fixed)])[0]
-                n = self.all[k, s]
-                if k == 0:
-                    p = (self.ends[k, s] + base) / (n + 1)
-                elif k == 1:
-                    p = (self.ends[k, s] + 3 * p) / (n + 3)
-                elif n >= LEAST_CONTEXT:
-                    p = max(p, self.ends[k, s] / (n + 1))
-        return float(p)
-
-
-def endings(texts: DataFrame, column: str) -> Endings:
-    """The terminal-context model of all texts; at most ``SLOTS`` rows a context reach the driver."""
+        keys = context_keys(text)
+        return _probability([None if k is None else self.counts.get(k, (0, 0)) for k in keys], self.base_ends / max(1, self.base_all)) if keys else 1.0
+
+    def cut(self, last: str, limit: float) -> bool:
+        return self.probability(last) < limit
+
+
+class _Asked:
+    """Stands for the model until its counts are known: keeps what was asked last."""
+
+    def __init__(self) -> None:
+        self.last: tuple[str, float] | None = None
+
+    def cut(self, last: str, limit: float) -> bool:
+        self.last = last, limit
+        return False
+
+
+def _probability(counts: list[tuple[int, int] | None], base: float) -> float:
+    """Probability of an end by ends and occurrences of each kind of context."""
+    p = base
+    for k, c in enumerate(counts):
+        if c is None:
+            continue
+        if k == 0:
+            p = (c[0] + base) / (c[1] + 1)
+        elif k == 1:
+            p = (c[0] + 3 * p) / (c[1] + 3)
+        elif c[1] >= LEAST_CONTEXT:
+            p = max(p, c[0] / (c[1] + 1))
+    return float(p)
+
+
+def endings(texts: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
+    """key, ends, n of the contexts in ``wanted`` (key) over all texts, some others, and a row without key for all words."""
+    x = F.col("key").bitwiseAND(F.lit(FILTER_BITS - 1)) + 1
+    parts = wanted.select(x.alias("x")).groupBy(F.bitmap_bucket_number("x").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("x")).alias("bits")).collect()  # 4,096 rows of 4 KB at most
+    bits = np.zeros(FILTER_BITS // 8, np.uint8)
+    for r in parts:
+        bits[(r["b"] - 1) * 4096 : r["b"] * 4096] = np.frombuffer(bytes(r["bits"]), np.uint8)
+    shared = texts.sparkSession.sparkContext.broadcast(bits)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = Endings()
         for pdf in batches:
-            texts = list(pdf[column])
-            for lo in range(0, len(texts), 2000):
-                model.add(texts[lo : lo + 2000])
-        for k in range(len(CONTEXTS)):
-            s = np.flatnonzero(model.all[k])
-            yield pd.DataFrame({"k": np.full(len(s), k), "slot": s, "ends": model.ends[k, s], "n": model.all[k, s]})
-
-    rows = spread(texts.select(column).filter(F.col(column).isNotNull())).mapInPandas(count, "k int, slot int, ends long, n long")
-    total = rows.groupBy("k", "slot").agg(F.sum("ends").alias("ends"), F.sum("n").alias("n")).toPandas()
-    out = Endings()
-    k, s = total["k"].to_numpy(dtype=np.int64), total["slot"].to_numpy(dtype=np.int64)
-    out.ends[k, s], out.all[k, s] = total["ends"], total["n"]
-    return out
-
-
-def is_truncated(answer: str, model: Endings) -> bool:
+            rows = list(pdf[column])
+            for lo in range(0, len(rows), 2000):
+                keys, ends, n, base_ends, base_all = _counted(rows[lo : lo + 2000], shared.value)
+                yield pd.DataFrame({"key": pd.array([*keys.tolist(), None], dtype="Int64"), "ends": [*ends.tolist(), base_ends], "n": [*n.tolist(), base_all]})
+
+    rows = spread(texts.select(column).filter(F.col(column).isNotNull())).mapInPandas(count, "key long, ends long, n long")
+    return rows.groupBy("key").agg(F.sum("ends").alias("ends"), F.sum("n").alias("n"))
+
+
+def is_truncated(answer: str, model: Endings | _Asked) -> bool:
     text = answer.rstrip()
     if text.count("```") % 2:
         return True
@@ -228,14 +269,14 @@ def is_truncated(answer: str, model: Endings) -> bool:
     if "|" in last or ";" in last or _ADDRESS_END.search(last):
         return False  # a data line or an address
     listed = bool(_MARKER.match(last)) or sum(bool(ln.strip()) and ln.rstrip()[-1].isalnum() for ln in text.split("\n")[:-1]) > 0
-    return model.probability(last) < (END_LIST if listed else END_LINE)
+    return model.cut(last, END_LIST if listed else END_LINE)
 
 
 def asks_for(question: str, language: str) -> bool:
     return bool(_NAMES[language].search(question))
 
 
-def defect(question: str | None, answer: str | None, model: Endings, spoken: set[str], answered: str | None) -> str | None:
+def defect(question: str | None, answer: str | None, model: Endings | _Asked, spoken: set[str], answered: str | None) -> str | None:
     """The defect type of a pair; ``spoken``: languages of the question, ``answered``: language of the answer."""
     if is_empty(answer):
         return "empty_answer"
@@ -250,9 +291,7 @@ def defect(question: str | None, answer: str | None, model: Endings, spoken: set
 
 def found(pairs: DataFrame, languages: Model) -> DataFrame:
     """conv_id, turn, defect_type of every defective user-to-assistant pair."""
-    model = endings(pairs, "assistant_text")
-    sc = pairs.sparkSession.sparkContext
-    ends, langs = sc.broadcast(model), sc.broadcast(languages)
+    langs = pairs.sparkSession.sparkContext.broadcast(languages)
     picked = pairs.filter("turn > 0 and conv_id is not null").select("conv_id", F.col("turn").cast("int").alias("turn"), "user_text", "assistant_text")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -264,11 +303,25 @@ def found(pairs: DataFrame, languages: Model) -> DataFrame:
             for conv, turn, q, a, sq, sa in zip(pdf["conv_id"], pdf["turn"], qs, an, spoken, answered):
                 main = max(sa, key=lambda s: s[1]) if sa else None
                 lang = main[0] if main and main[2] >= 0.9 and main[1] >= 20 else None
-                kind = defect(q, a, ends.value, {s[0] for s in sq}, lang)
+                kind = defect(q, a, asked := _Asked(), {s[0] for s in sq}, lang)
                 if kind:
-                    out.append((conv, turn, kind))
+                    out.append((conv, turn, kind, None, None))
+                elif asked.last and (keys := context_keys(asked.last[0])):
+                    out.append((conv, turn, None, asked.last[1], keys))
             if out:
-                yield pd.DataFrame(out, columns=["conv_id", "turn", "defect_type"])
-
-    hits = spread(picked).mapInPandas(run, "conv_id string, turn int, defect_type string")
-    return hits.groupBy("conv_id", "turn").agg(F.min("defect_type").alias("defect_type"))
+                yield pd.DataFrame(out, columns=["conv_id", "turn", "defect_type", "limit", "keys"])
+
+    seen = checkpoint(spread(picked).mapInPandas(run, "conv_id string, turn int, defect_type string, limit double, keys array<long>"))
+    sure, unsure = seen.filter("keys is null").select("conv_id", "turn", "defect_type"), seen.filter("keys is not null").drop("defect_type")
+    wanted = unsure.select(F.explode("keys").alias("key")).filter("key is not null")
+    counts = checkpoint(endings(pairs, "assistant_text", wanted))
+    total = counts.filter("key is null").first()
+    base = total["ends"] / max(1, total["n"]) if total else 0.0
+    known = unsure.select("*", F.posexplode("keys").alias("k", "key")).join(counts, "key", "left")
+    of = [F.max(F.when((F.col("k") == k) & F.col("key").isNotNull(), F.struct(F.coalesce("ends", F.lit(0)).alias("ends"), F.coalesce("n", F.lit(0)).alias("n")))).alias(f"c{k}") for k in range(len(CONTEXTS))]
+    p = (F.col("c0.ends") + base) / (F.col("c0.n") + 1)
+    p = F.when(F.col("c1").isNotNull(), (F.col("c1.ends") + 3 * p) / (F.col("c1.n") + 3)).otherwise(p)
+    for k in range(2, len(CONTEXTS)):
+        p = F.greatest(p, F.when(F.col(f"c{k}.n") >= LEAST_CONTEXT, F.col(f"c{k}.ends") / (F.col(f"c{k}.n") + 1)))
+    cut = known.groupBy("conv_id", "turn", "limit", "keys").agg(*of).filter(p < F.col("limit")).select("conv_id", "turn", F.lit("truncated_answer").alias("defect_type"))
+    return sure.unionByName(cut).groupBy("conv_id", "turn").agg(F.min("defect_type").alias("defect_type"))

@@ -114,6 +114,23 @@ def test_defects():
     assert d(q, "It is good. We go to the big house.") is None and d(None, "It is good.") is None
 
 
+def test_endings_are_exact(spark, model):
+    """Contexts however many keep their own counts, and the joined counts decide as the model held whole does."""
+    ends = defects.Endings()
+    texts = [f"a{i} b{i}. c{i} d{i} e{i}. end" for i in range(100_000)]
+    ends.add(texts)
+    assert all(ends.probability(f"z b{i}") > 0.6 for i in range(0, 100_000, 997))
+    assert all(ends.probability(f"c{i} d{i}") < 0.35 for i in range(0, 100_000, 997))
+    sf = "/root/testdata/sf0.01"
+    pairs = table(spark, sf, "semantic_alignment")
+    rows = pairs.filter("turn > 0 and conv_id is not null").select("conv_id", "turn", "assistant_text").collect()
+    whole = defects.Endings()
+    whole.add([r["assistant_text"] for r in pairs.select("assistant_text").filter("assistant_text is not null").collect()])
+    got = {(r["conv_id"], r["turn"]): r["defect_type"] for r in defects.found(pairs, model).collect()}
+    cut = {(r["conv_id"], int(r["turn"])) for r in rows if not defects.is_empty(r["assistant_text"]) and defects.is_truncated(r["assistant_text"], whole)}
+    assert {k for k, v in got.items() if v == "truncated_answer"} <= cut and cut <= set(got)
+
+
 def test_nothing_found_in_a_partition(spark, model):
     """Batches without a hit end well, as do empty tables."""
     rows = spark.createDataFrame([("k1", 1, "Is it?", "It is good to see the house.", "en", "user", "plain text only, nothing wrong with it at all here")] * 3, "conv_id string, turn int, user_text string, assistant_text string, lang string, role string, text string")
