@@ -15,6 +15,8 @@ from colloqua.session import table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
+#: Topics that can be clustered on the driver; more are refused.
+MOST_TOPICS = 2000
 METRICS = ["lsm_score", "lexical_jaccard", "sentiment_similarity", "semantic_similarity"]
 
 
@@ -533,7 +535,7 @@ def weighted_topic_means(spark: SparkSession, d: str) -> DataFrame:
 @query("bayes_topic_effects")
 def bayes_topic_effects(spark: SparkSession, d: str) -> DataFrame:
     z = stats.standardised(stats.long_form(_merged(spark, d).filter("topic is not null"), ["conv_id", "topic"], METRICS).filter("value is not null"))
-    return stats.intervals(models.gibbs(z.select("metric", "topic", "conv_id", F.col("z").alias("value")), chains=2, iterations=600, warmup=200), "metric", "topic")
+    return stats.intervals(models.gibbs(z.select("metric", "topic", "conv_id", F.col("z").alias("value")), chains=4, iterations=4000, warmup=1000), "metric", "topic")
 
 
 @query("turn_trajectories")
@@ -546,7 +548,10 @@ def turn_trajectories(spark: SparkSession, d: str) -> DataFrame:
 def topic_clusters(spark: SparkSession, d: str) -> DataFrame:
     import numpy as np
 
-    p = pivot_topic_metric(spark, d).filter("topic is not null").limit(2000).toPandas().dropna().sort_values("topic")  # a row a topic
+    p = pivot_topic_metric(spark, d).filter("topic is not null").limit(MOST_TOPICS + 1).toPandas()  # a row a topic
+    if len(p) > MOST_TOPICS:
+        raise ValueError(f"more than {MOST_TOPICS} topics: their distances don't fit the driver")
+    p = p.dropna().sort_values("topic")
     x = p[METRICS].to_numpy(dtype=float)
     x = (x - x.mean(axis=0)) / np.where(x.std(axis=0, ddof=1) > 0, x.std(axis=0, ddof=1), 1.0) if len(x) > 1 else x
     return spark.createDataFrame([(t, int(c)) for t, c in zip(p["topic"], models.ward(x, 3))], "topic string, cluster int")

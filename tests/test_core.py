@@ -15,7 +15,7 @@ import __spark_entry__
 from colloqua.functions import text as T
 from colloqua.operators import anonymise, collect, measures, merge, models, nested, pairs, stats, structure
 from colloqua.operators.models import ward
-from colloqua.plans import records
+from colloqua.plans import analytics, records
 from colloqua.sources import files, paged
 from colloqua.streaming import ingest
 
@@ -199,6 +199,22 @@ def test_gibbs_recovers_effects(spark):
     assert abs(med["a"] - 0.8) < 0.2 and abs(med["b"] + 0.5) < 0.2 and abs(med[".residual_sd"] - 0.5) < 0.1
 
 
+def test_topics_are_refused_not_dropped(spark, monkeypatch):
+    topics = spark.createDataFrame([(f"t{i}", *[float(i)] * 4) for i in range(4)], ["topic", *analytics.METRICS])
+    monkeypatch.setattr(analytics, "pivot_topic_metric", lambda spark, d: topics)
+    assert analytics.topic_clusters(spark, SF).count() == 4
+    monkeypatch.setattr(analytics, "MOST_TOPICS", 3)
+    with pytest.raises(ValueError, match="more than 3 topics"):
+        analytics.topic_clusters(spark, SF)
+
+
+def test_bayes_draws_as_the_reference(spark, monkeypatch):
+    asked = {}
+    monkeypatch.setattr(models, "gibbs", lambda rows, **k: asked.update(k) or spark.createDataFrame([("m", "t", 0, 0, 1.0)], "metric string, topic string, chain int, draw int, value double"))
+    analytics.bayes_topic_effects(spark, SF)
+    assert asked == {"chains": 4, "iterations": 4000, "warmup": 1000}
+
+
 def test_sources_and_stream(spark, tmp_path):
     src = tmp_path / "in"
     src.mkdir()
