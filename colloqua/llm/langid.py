@@ -2,8 +2,11 @@
 
 A text is the average of hashed subword embeddings (character 3- to 5-grams of each word and the word itself) and a linear
 softmax reads the language off the average. Embeddings and softmax are trained together by stochastic gradient descent in
-numpy on a bounded sample of labelled messages; since stored labels may be wrong, a first model drops the training rows it
-contradicts before the second is trained. Held-out rows set the temperature, so the confidence is a probability, and the
+numpy on a bounded sample of labelled messages. Stored labels may be wrong and a message may mix languages, so every different
+sentence first gets a language of its own: how often it stands under each label (weighted back to the corpus, read through the
+confusion of labels and languages) and its words' counts in all other sentences are brought together by expectation
+maximisation, starting from a few common words of each language. Sentences that stay unsure are not learnt. Held-out sentences,
+with the languages found that way and not by the model, set the temperature, so the confidence is a probability, and the
 rejection threshold. Embedding times softmax matrix is one score row per hash bucket, so what is broadcast has a fixed size.
 
 Segments: sentences and lines are scored, a Viterbi pass with a price for each change of language labels them, and
@@ -39,17 +42,33 @@ PER_LANGUAGE = 2000
 CACHE = 200_000
 #: Words and confidence below which a segment joins its neighbours (signatures, data lines).
 LEAST_WORDS, LEAST_SURE = 4, 0.85
+#: Common words of each language (fixed values), what one of them counts beside the corpus, and the probability from which a
+#: sentence's language is settled.
+COMMON = {
+    "en": "the and of to is that for with you it this are not have what how can my one",
+    "de": "der die das und ist nicht mit ein eine ich sie wie was auf für den dem wird man",
+    "fr": "le la les des et est que pour avec dans pas vous je ce une sur qui mais au",
+    "es": "el la los las y es que para con una no por se del cómo pero más este su",
+    "pt": "o os as e é que para com uma não por se do da como mas mais isso um",
+    "it": "il lo gli e è che per con una non di del della come ma più questo si un",
+    "nl": "de het een en is niet met van voor dat ik je hoe wat op maar zijn er ook",
+    "ru": "и в не на что с как для это по но из я он она мы так от же",
+}
+SEED_WEIGHT, SETTLED = 20.0, 0.95
+#: Part of a word's share in all text that every language is granted.
+BACK = 0.02
 #: Log-probability a change of language costs.
 SWITCH = 4.0
 
-_WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
+#: Words of letters only; what holds a digit is a number or a code.
+_WORD = re.compile(r"(?<!\w)[^\W\d_]+(?:['’][^\W\d_]+)?(?!\w)")
 _UNIT = re.compile(r"(?<=[.!?…])[\"'”»)]*\s+|\n+")
 _NOISE = re.compile(r"```.*?(?:```|\Z)|`[^`\n]*`|https?://\S+|\S*\w\.\w+/\S*|\S+@\S+|\{\"[^\n]*\}|\[[a-z_]+\]|<[^>\s]+>", re.S)
 _NOISY = re.compile(r"[`@/{\[<]")
 
 
 def _clean(text: str) -> str:
-    text = text if text.isascii() else mend(text)
+    text = text if text.isascii() else mend(text).replace("\ufffd", "")
     return _NOISE.sub(" ", text) if _NOISY.search(text) else text
 
 
@@ -67,7 +86,7 @@ class Model:
     bias: np.ndarray
     temperature: float
     threshold: float
-    accuracy: float  # on held-out sentences whose label the first model shares, so better than on all
+    accuracy: float  # on held-out sentences
     languages: tuple[str, ...] = LANGUAGES
 
 
@@ -153,33 +172,68 @@ def _fit(bags: list[tuple[str, ...]], y: np.ndarray, k: int, epochs: int, seed:
     return (emb @ w).astype(np.float32), b
 
 
-def train(texts: list[str], labels: list[str], seed: int = 7, epochs: int = 4) -> Model:
-    """A model from the sentences of labelled texts; a tenth of them, held out, calibrates it."""
-    k, rows = len(LANGUAGES), []
-    for t, lab in zip(texts, labels):
+def settled(bags: list[tuple[str, ...]], counts: np.ndarray, rounds: int = 8) -> np.ndarray:
+    """Probability of each language for each different sentence; ``counts``: weight of each stored label it was seen under.
+
+    The words' counts are those of all other sentences, so no sentence confirms itself.
+    """
+    k = len(LANGUAGES)
+    ids: dict[str, int] = {}
+    for la in LANGUAGES:
+        for word in COMMON[la].split():
+            ids.setdefault(word, len(ids))
+    flat = np.array([ids.setdefault(word, len(ids)) for words in bags for word in words], dtype=np.int64)
+    sizes = np.array([len(words) for words in bags])
+    of = np.repeat(np.arange(len(bags)), sizes)
+    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    seeds = np.zeros((len(ids), k))
+    for j, la in enumerate(LANGUAGES):
+        seeds[[ids[word] for word in COMMON[la].split()], j] = SEED_WEIGHT
+    total = counts.sum(axis=1, keepdims=True)
+    # labels are seen as often as they stand in the corpus; the sample holds each language about as often as the others
+    mix = counts.sum(axis=0) + 1.0
+    confusion = np.full((k, k), 0.1 / k) + 0.9 * np.eye(k)
+    post = (counts + 0.1) / (counts + 0.1).sum(axis=1, keepdims=True)
+    evidence = counts / np.maximum(total, 1e-9) * np.minimum(np.log1p(total), 3.0)
+    for _ in range(rounds):
+        words = seeds + np.stack([np.bincount(flat, post[of, j], len(ids)) for j in range(k)], axis=1)
+        share = (words[flat] - post[of]) / words.sum(axis=0)
+        # a word not seen elsewhere speaks for no language, however few words a language has
+        rate = share + BACK * (words.sum(axis=1) / words.sum())[flat, None]
+        spoken = np.add.reduceat(np.log(rate), starts)
+        said = evidence @ np.log(confusion).T
+        prior = np.log((post.sum(axis=0) + 1.0) / (len(bags) + k))
+        z = spoken + said + prior
+        z -= z.max(axis=1, keepdims=True)
+        post = np.exp(z)
+        post /= post.sum(axis=1, keepdims=True)
+        confusion = post.T @ (counts / mix * mix.mean()) + 0.5
+        confusion /= confusion.sum(axis=1, keepdims=True)
+    return post
+
+
+def train(texts: list[str], labels: list[str], weights: list[float] | None = None, seed: int = 7, epochs: int = 4) -> Model:
+    """A model from the sentences of labelled texts; a tenth of them, held out, calibrates it. ``weights``: rows a text stands for."""
+    k, seen = len(LANGUAGES), {}
+    for t, lab, w in zip(texts, labels, weights if weights is not None else [1.0] * len(texts)):
         if t and lab in LANGUAGES:
-            units = [words for u in _UNIT.split(_clean(t)) if len(words := tuple(_WORD.findall(u.lower()))) >= 3]
-            if units:
-                rows.append((units, LANGUAGES.index(lab)))
-    if not rows:
+            for u in _UNIT.split(_clean(t)):
+                if len(words := tuple(_WORD.findall(u.lower()))) >= 3:
+                    seen.setdefault(words, [0.0] * k)[LANGUAGES.index(lab)] += w
+    if not seen:
         return Model(np.zeros((BUCKETS, k), np.float32), np.zeros(k, np.float32), 1.0, 1.0, 0.0)
-    # the first model reads whole texts, of which most labels are right; its view and the label together clean the sentences
-    scores, b = _fit([sum(units, ()) for units, _ in rows], np.array([lab for _, lab in rows]), k, max(4, -(-40_000 // len(rows))), seed, balance=False)
-    first, agreed = Scorer(Model(scores, b, 1.0, 0.0, 0.0)), {}
-    units = sorted({(words, lab) for us, lab in rows for words in us})
-    seen = first([" ".join(words) for words, _ in units])[0].argmax(axis=1)
-    for (words, lab), view in zip(units, seen.tolist()):
-        if view == lab:
-            agreed[words] = lab
-    bags, y = list(agreed), np.array(list(agreed.values()), dtype=np.int64)
-    if not bags:
-        bags, y = [sum(us, ()) for us, _ in rows], np.array([lab for _, lab in rows])
+    bags = sorted(seen)
+    post = settled(bags, np.array([seen[words] for words in bags]))
+    sure = np.flatnonzero(post.max(axis=1) >= SETTLED)
+    if not len(sure):
+        sure = np.arange(len(bags))
+    bags, y = [bags[i] for i in sure], post[sure].argmax(axis=1)
     held = np.random.default_rng(seed).random(len(bags)) < 0.1
     flat = [" ".join(words) for words in bags]
     keep, test = np.flatnonzero(~held), np.flatnonzero(held)
     if not len(keep):
         keep = test
-    scores, b = _fit([bags[i] for i in keep], y[keep], k, epochs, seed + 1)
+    scores, b = _fit([bags[i] for i in keep], y[keep], k, max(epochs, -(-20_000 // len(keep))), seed + 1)
     temperature, threshold, accuracy = 1.0, 0.5, 0.0
     if len(test):
         best = np.inf
@@ -203,19 +257,24 @@ def label(column: Column) -> Column:
 
 
 def training_rows(rows: DataFrame, text: str, lang: str, key: str, per_language: int = PER_LANGUAGE) -> pd.DataFrame:
-    """About ``per_language`` labelled rows of each language, chosen by the hash of their key; never more than twice that."""
+    """About ``per_language`` labelled rows of each language, chosen by the hash of their key, with the rows each stands for.
+
+    Never more than twice ``per_language`` rows a language.
+    """
     labelled = rows.select(F.col(text).alias("text"), label(F.col(lang)).alias("lang"), F.pmod(F.xxhash64(key), F.lit(1 << 20)).alias("h"))
-    labelled = labelled.filter(F.col("lang").isin(*LANGUAGES) & (F.length("text") >= 30))
-    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    cut = F.create_map(*[F.lit(x) for la, n in sorted(counts.items()) for x in (la, int(per_language / n * (1 << 20)) + 1)]) if counts else F.lit(None)
+    labelled = labelled.filter(F.col("lang").isin(*LANGUAGES) & (F.length("text") >= 20))
+    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row a language
     if not counts:
-        return pd.DataFrame({"text": [], "lang": []})
-    return labelled.filter(F.col("h") < cut[F.col("lang")]).select("text", "lang", "h").limit(2 * per_language * len(LANGUAGES)).toPandas().sort_values(["h", "text"])
+        return pd.DataFrame({"text": [], "lang": [], "weight": []})
+    cut = F.create_map(*[F.lit(x) for la, n in sorted(counts.items()) for x in (la, int(per_language / n * (1 << 20)) + 1)])
+    picked = labelled.filter(F.col("h") < cut[F.col("lang")]).select("text", "lang", "h").limit(2 * per_language * len(LANGUAGES)).toPandas().sort_values(["h", "text"])
+    picked["weight"] = picked["lang"].map({la: max(1.0, n / per_language) for la, n in counts.items()})
+    return picked
 
 
 def fit_model(rows: DataFrame, text: str, lang: str, key: str, per_language: int = PER_LANGUAGE) -> Model:
     sample = training_rows(rows, text, lang, key, per_language)
-    return train(list(sample["text"]), list(sample["lang"]))
+    return train(list(sample["text"]), list(sample["lang"]), list(sample["weight"]))
 
 
 def segments(texts: list[str], scorer: Scorer) -> list[list[tuple[str, int, float]]]:
@@ -285,71 +344,71 @@ def _viterbi(ev: np.ndarray) -> list[int]:
     return path[::-1]
 
 
-def message_segments(rows: DataFrame, model: Model, key: str = "message_id", text: str = "text", lang: str = "lang", min_chars: int = 20) -> DataFrame:
-    """record_id, stored, segment_no, lang, n_chars, confidence of every segment of the user and assistant messages of at least ``min_chars``."""
+_SEGMENTS = "array<struct<lang:string,n_chars:int,confidence:double>>"
+
+
+def _latest(found: DataFrame) -> DataFrame:
+    """One row a record of record_id, loaded, segs: the latest loaded, then the greatest."""
+    return found.groupBy("record_id").agg(F.max(F.struct("loaded", "stored", "segs")).alias("m")).select("record_id", "m.stored", F.posexplode("m.segs").alias("segment_no", "s")).select("record_id", "stored", "segment_no", "s.*")
+
+
+def _segmented(rows: DataFrame, model: Model, key: str, text: str, lang: str, min_chars: int, every: bool) -> DataFrame:
     shared = rows.sparkSession.sparkContext.broadcast(model)
     trimmed = F.regexp_replace(F.col(text), r"(?U)^\s+|\s+$", "")
+    loaded = F.col("ingested_at") if "ingested_at" in rows.columns else F.lit(None).cast("timestamp")
     picked = rows.filter(clean_role(F.col("role")).isin("user", "assistant") & (F.length(trimmed) >= min_chars) & F.col(key).isNotNull())
-    picked = picked.select(F.col(key).alias("record_id"), F.col(text).alias("text"), label(F.col(lang)).alias("stored"))
+    picked = picked.select(F.col(key).alias("record_id"), loaded.alias("loaded"), F.col(text).alias("text"), label(F.col(lang)).alias("stored"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scorer = Scorer(shared.value)
         for pdf in batches:
-            ids, nos, langs, sizes, conf, stored = [], [], [], [], [], []
-            for key_, lab, segs in zip(pdf["record_id"], pdf["stored"], segments(list(pdf["text"]), scorer)):
-                for i, (la, size, c) in enumerate(segs):
-                    ids.append(key_), nos.append(i), langs.append(la), sizes.append(size), conf.append(c), stored.append(lab)
-            if ids:
-                yield pd.DataFrame({"record_id": ids, "stored": stored, "segment_no": nos, "lang": langs, "n_chars": sizes, "confidence": conf})
+            segs = segments(list(pdf["text"]), scorer)
+            hit = [bool(s) and (every or len(s) > 1 or s[0][0] != lab) for s, lab in zip(segs, pdf["stored"])]
+            if any(hit):
+                kept = [[dict(zip(("lang", "n_chars", "confidence"), x)) for x in s] for s, h in zip(segs, hit) if h]
+                yield pdf.loc[hit, ["record_id", "loaded", "stored"]].assign(segs=kept)
 
-    return spread(picked).mapInPandas(run, "record_id string, stored string, segment_no int, lang string, n_chars int, confidence double")
+    return _latest(spread(picked).mapInPandas(run, f"record_id string, loaded timestamp, stored string, segs {_SEGMENTS}"))
 
 
-def mislabelled_messages(rows: DataFrame, model: Model) -> DataFrame:
-    """record_id, segment_no, lang, confidence where a message mixes languages or its label is missing or wrong."""
-    shared = rows.sparkSession.sparkContext.broadcast(model)
-    trimmed = F.regexp_replace(F.col("text"), r"(?U)^\s+|\s+$", "")
-    picked = rows.filter(clean_role(F.col("role")).isin("user", "assistant") & (F.length(trimmed) >= 20) & F.col("message_id").isNotNull())
-    picked = picked.select(F.col("message_id").alias("record_id"), "text", label(F.col("lang")).alias("stored"))
+def message_segments(rows: DataFrame, model: Model, key: str = "message_id", text: str = "text", lang: str = "lang", min_chars: int = 20) -> DataFrame:
+    """record_id, stored, segment_no, lang, n_chars, confidence of every segment of the user and assistant messages of at least ``min_chars``."""
+    return _segmented(rows, model, key, text, lang, min_chars, True)
+
+
+def mislabelled_messages(rows: DataFrame, model: Model, key: str = "message_id", text: str = "text", lang: str = "lang", min_chars: int = 20) -> DataFrame:
+    """record_id, stored, segment_no, lang, n_chars, confidence where a message mixes languages or its label is missing or wrong."""
+    return _segmented(rows, model, key, text, lang, min_chars, False)
+
+
+def chat_languages(parts: DataFrame, model: Model) -> DataFrame:
+    """record_id, at, lang, n_chars over the segments of texts; ``parts``: record_id, at, text. Sums by batch first, so long chats are split."""
+    shared = parts.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scorer = Scorer(shared.value)
         for pdf in batches:
-            out = []
-            for key, lab, segs in zip(pdf["record_id"], pdf["stored"], segments(list(pdf["text"]), scorer)):
-                if len(segs) > 1 or (segs and segs[0][0] != lab):
-                    out += [(key, i, la, c) for i, (la, _, c) in enumerate(segs)]
-            if out:
-                yield pd.DataFrame(out, columns=["record_id", "segment_no", "lang", "confidence"])
+            total: dict[tuple, int] = {}
+            for key, at, segs in zip(pdf["record_id"], pdf["at"], segments(list(pdf["text"]), scorer)):
+                for la, size, _ in segs:
+                    total[key, at, la] = total.get((key, at, la), 0) + size
+            if total:
+                yield pd.DataFrame([(*k, n) for k, n in total.items()], columns=["record_id", "at", "lang", "n_chars"])
 
-    found = spread(picked).mapInPandas(run, "record_id string, segment_no int, lang string, confidence double")
-    return found.dropDuplicates(["record_id", "segment_no"])
+    return parts.mapInPandas(run, "record_id string, at string, lang string, n_chars long")
 
 
 def mislabelled_chats(raw: DataFrame, model: Model) -> DataFrame:
-    """record_id, lang, confidence of fetched chats whose label is missing or isn't the language of most of their text."""
-    shared = raw.sparkSession.sparkContext.broadcast(model)
-    texts = F.filter(F.transform("messages", lambda m: F.when(clean_role(m["role"]).isin("user", "assistant"), m["text"])), lambda t: t.isNotNull())
-    chats = raw.filter("fetch_success and share_id is not null").select(F.col("share_id").alias("record_id"), label(F.col("conversation_language")).alias("stored"), texts.alias("texts")).filter(F.size("texts") > 0)
+    """record_id, lang, confidence of fetched chats whose label is missing or isn't the language of most of their text.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        scorer = Scorer(shared.value)
-        for pdf in batches:
-            flat = [_clean(t) for ts in pdf["texts"] for t in ts]
-            logp, n = scorer(flat)
-            size = np.array([len(t) for t in flat], dtype=float)
-            out, lo = [], 0
-            for key, lab, ts in zip(pdf["record_id"], pdf["stored"], pdf["texts"]):
-                hi = lo + len(ts)
-                has = n[lo:hi] > 0
-                if has.any():
-                    votes = (np.exp(logp[lo:hi]) * (size[lo:hi] * has)[:, None]).sum(axis=0)
-                    top = int(votes.argmax())
-                    if (la := scorer.model.languages[top]) != lab:
-                        out.append((key, la, float(votes[top] / votes.sum())))
-                lo = hi
-            if out:
-                yield pd.DataFrame(out, columns=["record_id", "lang", "confidence"])
-
-    found = spread(chats).mapInPandas(run, "record_id string, lang string, confidence double")
-    return found.groupBy("record_id").agg(F.max(F.struct("confidence", "lang")).alias("m")).select("record_id", "m.lang", "m.confidence")
+    The label is that of the latest successful fetch; confidence is the share of the text in that language.
+    """
+    at = F.coalesce(F.col("fetched_at").cast("string"), F.lit(""))
+    good = raw.filter("fetch_success and share_id is not null").select(F.col("share_id").alias("record_id"), "fetched_at", at.alias("at"), label(F.col("conversation_language")).alias("stored"), "messages")
+    labels = good.groupBy("record_id").agg(F.max(F.struct("fetched_at", "at", "stored")).alias("m")).select("record_id", "m.at", "m.stored")
+    said = good.select("record_id", "at", F.explode("messages").alias("m")).filter(clean_role(F.col("m.role")).isin("user", "assistant") & F.col("m.text").isNotNull())
+    sizes = chat_languages(spread(said.select("record_id", "at", F.col("m.text").alias("text"))), model)
+    total = sizes.groupBy("record_id", "at", "lang").agg(F.sum("n_chars").alias("n"))
+    top = total.groupBy("record_id", "at").agg(F.max_by("lang", F.struct("n", "lang")).alias("lang"), (F.max("n") / F.sum("n")).alias("confidence"))
+    judged = top.join(labels, ["record_id", "at"])
+    return judged.filter(~F.col("stored").eqNullSafe(F.col("lang"))).select("record_id", "lang", "confidence")

@@ -37,7 +37,7 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p2_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every segment of every message with its language and confidence."""
     rows = table(spark, sf_dir, "conversations")
-    return langid.message_segments(rows, _language_model(spark, sf_dir)).dropDuplicates(["record_id", "segment_no"])
+    return langid.message_segments(rows, _language_model(spark, sf_dir))
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:

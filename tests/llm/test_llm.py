@@ -75,6 +75,38 @@ def test_language_edges(model):
     assert langid.segments(["some words here"], langid.Scorer(empty)) in ([[]], [[("en", 15, 0.125)]])
 
 
+@pytest.mark.parametrize("text", ["Set it to 52 µm – no more, no less.", "Zoë’s copy says ‘draft 55’, mine doesn’t.", "Order number 92717684452 is still open.", "Commit 4f619ab59e touched 4 files in the café § 3.", "Could you draft a short note about the census roll for my team?"])
+def test_english_with_odd_signs_is_english(model, text):
+    around = "A beginner should touch the league table only after the head coach has stopped."
+    assert [x[0] for x in langid.segments([f"{around} {text}"], langid.Scorer(model))[0]] == ["en"]
+
+
+def test_wrong_labels_do_not_settle_a_sentence():
+    rng = random.Random(4)
+    own = {"en": "the house of my friend is big", "es": "la casa de mi amigo es muy grande", "pt": "a casa do meu amigo não é grande"}
+    texts, labels, weights = [], [], []
+    for _ in range(600):
+        la = rng.choice(list(own))
+        texts.append(own[la] + f" {rng.choice('abcdefgh')}x.")
+        labels.append(la if rng.random() < 0.7 else rng.choice(list(own)))
+        weights.append(10.0 if labels[-1] == "en" else 1.0)
+    model = langid.train(texts, labels, weights)
+    out = langid.segments(list(own.values()), langid.Scorer(model))
+    assert [s[0][0] for s in out] == list(own)
+
+
+def test_chats_by_segments_and_latest_label(spark, model):
+    en, de = "How do I tell whether the rental car is slow enough for a first try?", "Warum heißt es immer, die Migräne sei zu zuverlässig für den Anfang, und was heißt das für uns?"
+    chats = [
+        ("a", 1, True, "de", [("user", en), ("bot", f"{de} {de}"), ("tool", en * 9)]),
+        ("b", 1, True, "fr", [("user", f"{en} {de} {de}")]), ("b", 2, True, "de", [("user", f"{en} {de} {de}")]),
+        ("c", 1, True, None, [("human", en), ("assistant", None)]), ("d", 1, False, None, [("user", en)]), ("e", None, True, "und", [("user", de)]), ("f", 1, True, "EN-us", [("user", en)]), ("g", 1, True, None, None), (None, 1, True, None, [("user", en)]),
+    ]
+    raw = spark.createDataFrame(chats + chats[:1], "share_id string, fetched_at bigint, fetch_success boolean, conversation_language string, messages array<struct<role string, text string>>").selectExpr("*", "1 as lang")
+    assert sorted((r["record_id"], r["lang"]) for r in langid.mislabelled_chats(raw, model).collect()) == [("c", "en"), ("e", "de")]
+    assert langid.mislabelled_chats(raw.limit(0), model).count() == 0
+
+
 # 3 encodings
 
 
