@@ -55,7 +55,7 @@ COMMON = {
     "ru": "и в не на что с как для это по но из я он она мы так от же",
 }
 SEED_WEIGHT, SETTLED = 20.0, 0.95
-#: Part of a word's share in all text that every language is granted.
+#: Share of a word that every language is granted.
 BACK = 0.02
 #: Log-probability a change of language costs.
 SWITCH = 4.0
@@ -190,24 +190,20 @@ def settled(bags: list[tuple[str, ...]], counts: np.ndarray, rounds: int = 8) ->
     for j, la in enumerate(LANGUAGES):
         seeds[[ids[word] for word in COMMON[la].split()], j] = SEED_WEIGHT
     total = counts.sum(axis=1, keepdims=True)
-    # labels are seen as often as they stand in the corpus; the sample holds each language about as often as the others
-    mix = counts.sum(axis=0) + 1.0
     confusion = np.full((k, k), 0.1 / k) + 0.9 * np.eye(k)
     post = (counts + 0.1) / (counts + 0.1).sum(axis=1, keepdims=True)
-    evidence = counts / np.maximum(total, 1e-9) * np.minimum(np.log1p(total), 3.0)
+    evidence = counts / np.maximum(total, 1e-9) * np.minimum(np.log1p(total / np.maximum(total.min(), 1e-9)), 3.0)
     for _ in range(rounds):
-        words = seeds + np.stack([np.bincount(flat, post[of, j], len(ids)) for j in range(k)], axis=1)
-        share = (words[flat] - post[of]) / words.sum(axis=0)
-        # a word not seen elsewhere speaks for no language, however few words a language has
-        rate = share + BACK * (words.sum(axis=1) / words.sum())[flat, None]
-        spoken = np.add.reduceat(np.log(rate), starts)
-        said = evidence @ np.log(confusion).T
-        prior = np.log((post.sum(axis=0) + 1.0) / (len(bags) + k))
-        z = spoken + said + prior
+        mass = post * total  # in rows of the corpus, so the mislabelled part of a large language stays small beside it
+        words = seeds + np.stack([np.bincount(flat, mass[of, j], len(ids)) for j in range(k)], axis=1)
+        share = np.maximum(words[flat] - mass[of], 0.0) / np.sqrt(words.sum(axis=0))
+        rest = share.sum(axis=1, keepdims=True)
+        share = np.where(rest > 0, share / np.maximum(rest, 1e-12), 1.0 / k)  # a word not seen elsewhere speaks for no language
+        z = np.add.reduceat(np.log(share + BACK), starts) + evidence @ np.log(confusion).T
         z -= z.max(axis=1, keepdims=True)
         post = np.exp(z)
         post /= post.sum(axis=1, keepdims=True)
-        confusion = post.T @ (counts / mix * mix.mean()) + 0.5
+        confusion = post.T @ counts + 0.5
         confusion /= confusion.sum(axis=1, keepdims=True)
     return post
 
