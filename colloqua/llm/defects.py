@@ -1,15 +1,19 @@
 """Defective prompt and response pairs, each with one defect type.
 
 In this order, the first that holds: ``empty_answer`` (null, blank, no letter or digit, or a stand-in for nothing);
-``copied_question`` (compressed with its question as zstandard dictionary next to nothing is left, and the words confirm it);
-``refusal`` (refusal phrases in eight languages and hardly a word besides); ``wrong_language`` (language model of ``langid``;
-not if the question names the answer's language); ``truncated_answer`` (open code fence or list marker, or an ending in whose
-context texts of this corpus go on rather than end).
+``copied_question`` (compressed with its question as zstandard dictionary next to nothing is left of what the answer takes
+alone, and the words confirm it); ``refusal`` (refusal phrases in eight languages and hardly a word besides);
+``wrong_language`` (language model of ``langid``; not if the question names the answer's language); ``truncated_answer`` (open
+code fence or list marker, or an ending in whose context texts of this corpus go on rather than end).
 
-The terminal-context model counts, over all answers, how often each last word and pair of last words ends a sentence or line.
-Contexts are told apart by 64-bit hashes and counted exactly, but only those that some open ending asks for: a bitmap of fixed
-size lets the others out before they are shuffled, and the counts are joined. Only ends inside a text are counted, because the
-last one may itself be cut.
+A question of fewer than ``TELLING`` words (thanks, go on) has no language of its own: the language of most answers to the same
+words over the whole corpus counts as its language where that majority is clear, else no answer to it is wrong.
+
+The terminal-context model counts, over all answers, how often the last word, and the words before a free last one, two or three
+words, stand at the end of a sentence or line. The odds of the context and of the word against the average give the probability
+of an end. Contexts are told apart by 64-bit hashes and counted exactly, but only those that some open ending asks for: a bitmap
+of fixed size lets the others out before they are shuffled, and the counts are joined. Only ends inside a text are counted,
+because the last one may itself be cut.
 
 Defined results: pairs without positive turn or without conv_id are left out; repeat rows count once; a null question makes
 no copy and no wrong language; texts are read whole; an empty table gives no rows; further columns are ignored.
@@ -34,16 +38,22 @@ from colloqua.session import checkpoint, spread
 TYPES = ("empty_answer", "copied_question", "refusal", "wrong_language", "truncated_answer")
 #: Bits of the filter; if many contexts share a bit, more rows are shuffled and no count changes.
 FILTER_BITS = 1 << 27
-#: Share of bytes left by compression, and of word triples known from the question, at which an answer is a copy.
-COPY_LEFT, COPY_KNOWN = 0.5, 0.8
-#: Probability of an end below which an answer without closing sign is cut: items of lists, other lines.
-END_LIST, END_LINE = 0.2, 0.6
+#: Share of its compressed size that an answer may keep with its question as dictionary, bytes of a lead-in that do not count,
+#: share of word triples known from the question, and words around them, at which an answer is a copy.
+COPY_LEFT, LEAD_IN, COPY_KNOWN, COPY_AROUND = 0.4, 12, 0.8, 3
+#: Probability of an end below which an answer without closing sign is cut: items of lists without such signs, other lines.
+END_LIST, END_LINE = 0.1, 0.6
+#: Words from which a question tells its language, confidence it must have, and share of a clear majority of answers.
+TELLING, SURE, MAJORITY = 4, 0.8, 0.8
 
 _STAND_IN = re.compile(r"[\[(<{]*\s*(?:n/?a|null|none|nil|nan|undefined|empty|blank|tbd|todo|(?:no|missing|empty) (?:content|answer|response|text|output|data)|(?:content|answer|response) (?:missing|removed|deleted|unavailable))\s*[\])>}]*\.?", re.I)
 _WORD = re.compile(r"\w+")
 _SENTENCE = re.compile(r"(?<=[.!?…])[\"'”»)]*\s+")
 _MARKER = re.compile(r"^\s*(?:[-*+•]|\d+[.)])\s*")
-_ADDRESS_END = re.compile(r"(?:@\S+|://\S+|\w\.\w+/\S+|\[dot\] ?\w+|\(at\)\S+|\b\d[\d .()-]{6,})$")
+#: Cells of a data line.
+_DATA = re.compile(r"\||;\S")
+#: Web and mail addresses, long numbers and codes of capitals and digits.
+_ADDRESS_END = re.compile(r"(?:@\S+|://\S+|\w\.\w+/\S+|\[dot\] ?\w+|\(at\)\S+|\b\d[\d .()-]{6,}|(?<![\w-])(?=[A-Z-]*\d)[A-Z\d-]{5,})$")
 #: Phrases of refusals (fixed values), by language.
 REFUSALS = (
     r"\b(?:i|we)(?:['’]m| am| are| must)?\b[^.!?\n]{0,30}\b(?:can(?:no|['’])?t|cannot|won['’]t|will not|unable|not able|not in a position|decline|refuse)\b",
@@ -58,10 +68,8 @@ REFUSALS = (
     r"к сожалению|не могу|извините|прошу прощения|вынужден[аы]? отказ",
 )
 _REFUSAL = re.compile("|".join(REFUSALS), re.I)
-#: A piece of text that every phrase above holds: tested first, because it is cheap.
-_HINTS = ("can't", "can’t", "cannot", "cann", "cant ", "won't", "won’t", "will not", "unable", "not able", "not in a position", "decline", "refus", "against my", "against our", "as an ai", "language model", "something i", "apologies", "have to pass", "comfortable", "safety reasons", "modèle de langage", "sprachmodell", "modelo de l", "modello ling", "taalmodel", "языков", "nicht", "tut mir leid", "verstößt", "lehne", "ablehnen", "désolé", "ne peux", "en mesure", "regrette", "impossible", "mes règles", "mes principes", "mes consignes", "siento", "no puedo", "no me es", "condiciones", "en contra", "negarme", "rechazar", "não posso", "não consigo", "não me é", "desculp", "lamento", "sinto muito", "dispiace", "non posso", "non sono in grado", "non mi è", "spijt", "niet", "сожалени", "не могу", "извините", "прощения", "вынужден")
 #: Words an answer may hold beside its refusing sentences.
-REFUSAL_REST, REFUSAL_WORDS = 16, 60
+REFUSAL_REST = 16
 #: Names of the languages in the languages (fixed values).
 NAMES = {
     "en": "english englisch anglais inglés inglês inglese engels английск",
@@ -88,31 +96,43 @@ def _plain(text: str) -> str:
     return " ".join(_WORD.findall(text.casefold()))
 
 
+def _packed(data: bytes, known: bytes | None) -> int:
+    """Bytes of zstandard blocks, with ``known`` as dictionary."""
+    d = zstandard.ZstdCompressionDict(known, dict_type=zstandard.DICT_TYPE_RAWCONTENT) if known else None
+    packer = zstandard.ZstdCompressor(level=1, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False)
+    return len(packer.compress(data)) - 9  # frame and block headers
+
+
 def is_copy(question: str | None, answer: str) -> bool:
     if not question or _is_blank(question):
         return False
     q, a = _plain(question), _plain(answer)
-    if not a or not q or len(a) > 2 * len(q) + 40:
+    if not a or not q:
         return False
     data = a.encode()
-    known = zstandard.ZstdCompressionDict(q.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-    packer = zstandard.ZstdCompressor(level=1, dict_data=known, write_content_size=False, write_checksum=False, write_dict_id=False)
-    left = len(packer.compress(data)) - 9  # frame and block headers
-    if left > COPY_LEFT * len(data):
+    left = _packed(data, q.encode()) - LEAD_IN
+    if left > COPY_LEFT * len(data) or left > COPY_LEFT * _packed(data, None):
         return False
     aw, qw = a.split(), q.split()
     n = min(3, len(aw))
-    have = {tuple(qw[i : i + n]) for i in range(len(qw) - n + 1)}
-    mine = [tuple(aw[i : i + n]) for i in range(len(aw) - n + 1)]
-    return sum(g in have for g in mine) >= COPY_KNOWN * len(mine)
+    around = qw + qw[: n - 1]  # also where the question is given back twice
+    have = {tuple(around[i : i + n]) for i in range(len(around) - n + 1)}
+    mine = [tuple(aw[i : i + n]) in have for i in range(len(aw) - n + 1)]
+    if True not in mine:
+        return False
+    lo, hi = mine.index(True), len(mine) - mine[::-1].index(True)
+    return lo <= COPY_AROUND and len(mine) - hi <= COPY_AROUND and sum(mine[lo:hi]) >= COPY_KNOWN * (hi - lo)
 
 
 def is_refusal(answer: str) -> bool:
-    low = answer.lower()
-    if not any(h in low for h in _HINTS) or len(_WORD.findall(answer)) > REFUSAL_WORDS or not _REFUSAL.search(answer):
-        return False
-    rest = [s for line in answer.split("\n") for s in _SENTENCE.split(line) if not _REFUSAL.search(s)]
-    return sum(len(_WORD.findall(s)) for s in rest) <= REFUSAL_REST
+    rest, refused = 0, False
+    for line in answer.split("\n"):
+        for s in _SENTENCE.split(line):
+            if _REFUSAL.search(s):
+                refused = True
+            elif (rest := rest + len(_WORD.findall(s))) > REFUSAL_REST:
+                return False
+    return refused
 
 
 class _Hashes(dict):
@@ -136,8 +156,8 @@ def _keys(k: int, hashes: list[np.ndarray]) -> np.ndarray:
     return (key ^ (key >> np.uint64(29))).view(np.int64)
 
 
-#: Contexts of the model: how many of the last words stand free, and how many words before those are fixed.
-CONTEXTS = ((0, 1), (0, 2), (1, 3), (2, 3), (3, 3))
+#: Contexts of the model: how many of the last words stand free, and how many words before those are fixed. The first is the word itself.
+CONTEXTS = ((0, 1), (1, 3), (2, 3), (3, 3))
 #: Times a longer context must have been seen to count.
 LEAST_CONTEXT = 5
 
@@ -182,8 +202,8 @@ def _counted(texts: list[str], bits: np.ndarray | None = None) -> tuple[np.ndarr
 class Endings:
     """How often a context of last words ends a sentence or line.
 
-    Beside the last word and pair of words there are contexts whose last one to three words are free, so that "half is the
-    <any> <any>" is known to end a sentence whatever the two words are. Held whole, so for a few texts only.
+    Beside the last word there are contexts whose last one to three words are free, so that "half is the <any> <any>" is known to
+    end a sentence whatever the two words are. Held whole, so for a few texts only.
     """
 
     def __init__(self) -> None:
@@ -216,19 +236,19 @@ class _Asked:
         return False
 
 
+#: Least and greatest probability that enters the odds.
+_EDGE = 1e-4
+
+
+def _odds(p: float) -> float:
+    return np.log(max(p, _EDGE) / max(1 - p, _EDGE))
+
+
 def _probability(counts: list[tuple[int, int] | None], base: float) -> float:
-    """Probability of an end by ends and occurrences of each kind of context."""
-    p = base
-    for k, c in enumerate(counts):
-        if c is None:
-            continue
-        if k == 0:
-            p = (c[0] + base) / (c[1] + 1)
-        elif k == 1:
-            p = (c[0] + 3 * p) / (c[1] + 3)
-        elif c[1] >= LEAST_CONTEXT:
-            p = max(p, c[0] / (c[1] + 1))
-    return float(p)
+    """Probability of an end by ends and occurrences of each kind of context: the best of word and context together."""
+    word = (counts[0][0] + base) / (counts[0][1] + 1)
+    sums = [_odds((c[0] + base) / (c[1] + 1)) + _odds(word) - _odds(base) for c in counts[1:] if c is not None and c[1] >= LEAST_CONTEXT]
+    return float(1 / (1 + np.exp(-max(sums)))) if sums else float(word)
 
 
 def endings(texts: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
@@ -251,25 +271,33 @@ def endings(texts: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
     return rows.groupBy("key").agg(F.sum("ends").alias("ends"), F.sum("n").alias("n"))
 
 
+def _limit(lines: list[str]) -> float:
+    """The limit for the last line: that of lists where it belongs to one whose other items have no closing signs either."""
+    others = [ln for ln in lines[:-1] if ln.strip() and not ln.strip().startswith("```")]
+    items = [ln for ln in others if _MARKER.match(ln)]
+    same = items if _MARKER.match(lines[-1]) else others
+    if any(ln.rstrip()[-1].isalnum() for ln in same):
+        return END_LIST
+    return END_LIST if _MARKER.match(lines[-1]) and not items else END_LINE
+
+
 def is_truncated(answer: str, model: Endings | _Asked) -> bool:
     text = answer.rstrip()
     if text.count("```") % 2:
         return True
-    last = text.rsplit("\n", 1)[-1]
+    lines = text.split("\n")
+    last = lines[-1]
     if _MARKER.fullmatch(last) or (last.strip() in ("-", "*", "+")):
         return True
     final = text[-1]
     if final in ".!?…`|]}\"'”’»)" or unicodedata.category(final)[0] == "S" or ord(final) in (0xFE0F, 0x200D):
         inner = text.rstrip("\"'”’»)")
-        return bool(inner) and inner[-1] in ",(–—-" and len(_WORD.findall(text)) > 3
+        return bool(inner) and inner[-1] in ",(–—-"
     if final in ",;:(–—-/&«“‘„[{":
-        return len(_WORD.findall(text)) > 3
-    if len(_WORD.findall(text)) <= 3:
+        return True
+    if _DATA.search(last) or _ADDRESS_END.search(last):
         return False
-    if "|" in last or ";" in last or _ADDRESS_END.search(last):
-        return False  # a data line or an address
-    listed = bool(_MARKER.match(last)) or sum(bool(ln.strip()) and ln.rstrip()[-1].isalnum() for ln in text.split("\n")[:-1]) > 0
-    return model.cut(last, END_LIST if listed else END_LINE)
+    return model.cut(last, _limit(lines))
 
 
 def asks_for(question: str, language: str) -> bool:
@@ -289,6 +317,24 @@ def defect(question: str | None, answer: str | None, model: Endings | _Asked, sp
     return "truncated_answer" if is_truncated(answer, model) else None
 
 
+def _short(question: str | None) -> str | None:
+    """The words of a question too short to tell its language, None for others."""
+    plain = _plain(question or "")
+    return plain if 0 < len(plain.split()) < TELLING else None
+
+
+def _spoken(question: str | None, segs: list[tuple[str, int, float]]) -> set[str]:
+    """Languages of a question that tells them."""
+    return set() if question is None or len(_WORD.findall(question)) < TELLING or (len(segs) == 1 and segs[0][2] < SURE) else {s[0] for s in segs}
+
+
+def _against_majority(seen: DataFrame) -> DataFrame:
+    """short, answered: languages that answers to these words have and that a clear majority of such answers has not."""
+    n = seen.filter("short is not null and answered is not null").groupBy("short", "answered").agg(F.count("*").alias("n"))
+    total = n.groupBy("short").agg(F.sum("n").alias("total"), F.max("n").alias("most"))
+    return n.join(total, "short").filter((F.col("most") >= MAJORITY * F.col("total")) & (F.col("n") < F.col("most"))).select("short", "answered")
+
+
 def found(pairs: DataFrame, languages: Model) -> DataFrame:
     """conv_id, turn, defect_type of every defective user-to-assistant pair."""
     langs = pairs.sparkSession.sparkContext.broadcast(languages)
@@ -301,27 +347,32 @@ def found(pairs: DataFrame, languages: Model) -> DataFrame:
             spoken, answered = segments(qs, scorer), segments(an, scorer)
             out = []
             for conv, turn, q, a, sq, sa in zip(pdf["conv_id"], pdf["turn"], qs, an, spoken, answered):
-                main = max(sa, key=lambda s: s[1]) if sa else None
+                main = max(sa, key=lambda s: s[1], default=None)
                 lang = main[0] if main and main[2] >= 0.9 and main[1] >= 20 else None
-                kind = defect(q, a, asked := _Asked(), {s[0] for s in sq}, lang)
-                if kind:
-                    out.append((conv, turn, kind, None, None))
-                elif asked.last and (keys := context_keys(asked.last[0])):
-                    out.append((conv, turn, None, asked.last[1], keys))
+                kind, short = defect(q, a, asked := _Asked(), _spoken(q, sq), lang), _short(q)
+                if kind and (kind != "truncated_answer" or not short):
+                    out.append((conv, turn, kind, None, None, None, None))
+                    continue
+                keys = context_keys(asked.last[0]) if not kind and asked.last else None
+                if kind or keys or short:
+                    out.append((conv, turn, kind, short if lang else None, lang if not asks_for(q or "", lang or "en") else None, asked.last[1] if keys else None, keys or None))
             if out:
-                yield pd.DataFrame(out, columns=["conv_id", "turn", "defect_type", "limit", "keys"])
+                yield pd.DataFrame(out, columns=["conv_id", "turn", "defect_type", "short", "answered", "limit", "keys"])
 
-    seen = checkpoint(spread(picked).mapInPandas(run, "conv_id string, turn int, defect_type string, limit double, keys array<long>"))
-    sure, unsure = seen.filter("keys is null").select("conv_id", "turn", "defect_type"), seen.filter("keys is not null").drop("defect_type")
+    seen = checkpoint(spread(picked).mapInPandas(run, "conv_id string, turn int, defect_type string, short string, answered string, limit double, keys array<long>"))
+    foreign = seen.filter("short is not null").join(_against_majority(seen), ["short", "answered"], "left_semi").select("conv_id", "turn", F.lit("wrong_language").alias("defect_type"))
+    unsure = seen.filter("keys is not null").select("conv_id", "turn", "limit", "keys")
     wanted = unsure.select(F.explode("keys").alias("key")).filter("key is not null")
     counts = checkpoint(endings(pairs, "assistant_text", wanted))
     total = counts.filter("key is null").first()
-    base = total["ends"] / max(1, total["n"]) if total else 0.0
+    base = min(max(total["ends"] / max(1, total["n"]) if total else 0.0, _EDGE), 1 - _EDGE)
     known = unsure.select("*", F.posexplode("keys").alias("k", "key")).join(counts, "key", "left")
     of = [F.max(F.when((F.col("k") == k) & F.col("key").isNotNull(), F.struct(F.coalesce("ends", F.lit(0)).alias("ends"), F.coalesce("n", F.lit(0)).alias("n")))).alias(f"c{k}") for k in range(len(CONTEXTS))]
-    p = (F.col("c0.ends") + base) / (F.col("c0.n") + 1)
-    p = F.when(F.col("c1").isNotNull(), (F.col("c1.ends") + 3 * p) / (F.col("c1.n") + 3)).otherwise(p)
-    for k in range(2, len(CONTEXTS)):
-        p = F.greatest(p, F.when(F.col(f"c{k}.n") >= LEAST_CONTEXT, F.col(f"c{k}.ends") / (F.col(f"c{k}.n") + 1)))
+    share = [(F.col(f"c{k}.ends") + base) / (F.col(f"c{k}.n") + 1) for k in range(len(CONTEXTS))]
+    odds = lambda p: F.log(F.greatest(p, F.lit(_EDGE)) / F.greatest(1 - p, F.lit(_EDGE)))
+    best = F.greatest(*[F.when(F.col(f"c{k}.n") >= LEAST_CONTEXT, odds(share[k]) + odds(share[0]) - _odds(base)) for k in range(1, len(CONTEXTS))])
+    p = F.when(best.isNotNull(), 1 / (1 + F.exp(-best))).otherwise(share[0])
     cut = known.groupBy("conv_id", "turn", "limit", "keys").agg(*of).filter(p < F.col("limit")).select("conv_id", "turn", F.lit("truncated_answer").alias("defect_type"))
-    return sure.unionByName(cut).groupBy("conv_id", "turn").agg(F.min("defect_type").alias("defect_type"))
+    every = seen.filter("defect_type is not null").select("conv_id", "turn", "defect_type").unionByName(foreign).unionByName(cut)
+    order = F.array_position(F.array(*map(F.lit, TYPES)), F.col("defect_type"))
+    return every.groupBy("conv_id", "turn").agg(F.min_by("defect_type", order).alias("defect_type"))

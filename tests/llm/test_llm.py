@@ -146,6 +146,32 @@ def test_defects():
     assert d(q, "It is good. We go to the big house.") is None and d(None, "It is good.") is None
 
 
+def test_copies_by_compression():
+    q = "what's the deal with the joint inflammation, seriously"
+    assert defects.is_copy(q, f'You asked: "{q}"') and defects.is_copy("Summarise the goalkeeper in 58 words.", 'You asked: "Summarise the goalkeeper in 58 words."')
+    assert defects.is_copy(q, " ".join([q] * 40)) and not defects.is_copy(q, q + " It comes from cold weather, and the doctor will tell you more about that when you see her.")
+    assert not defects.is_copy("", q) and not defects.is_copy(None, q) and not defects.is_copy("?!", "?!")
+
+
+def test_cut_list_items_and_prose():
+    ends = defects.Endings()
+    nouns = ["roux", "layover", "dividend", "rental car", "balance sheet", "egg white"]
+    ends.add([f"Note that a slow {a} is not the same thing as a slow {b}.\nAvoid the {b} on busy days; the {a} is more forgiving.\nfine" for a in nouns for b in nouns] * 5)
+    whole = "- Avoid the roux on busy days; the layover is more forgiving\n- Note that a slow roux is not the same thing as a slow layover"
+    assert not defects.is_truncated(whole, ends) and not defects.is_truncated(whole.replace("slow layover", "slow rental car"), ends)
+    assert defects.is_truncated(whole.replace("slow layover", "slow rental"), ends) and defects.is_truncated(whole[: whole.rindex("thing")], ends)
+    assert defects.is_truncated("Note that a slow roux is not the same thing as a slow dividend. Avoid the roux on busy days; the", ends)
+    assert not defects.is_truncated("Fine.\nname;phone\nAnna Berg;+1 202-555-0188", ends) and not defects.is_truncated("doc check: DNI 00049572-T", ends)
+    assert defects.is_truncated("and", ends) and defects.is_truncated("so,", ends)
+
+
+def test_short_questions_have_the_language_of_most_answers(spark, model):
+    en, es = "A beginner should touch the league table only after the head coach has stopped.", "Muchos discuten sobre el aeropuerto, pero casi nadie habla sobre el transbordador."
+    rows = [(f"e{i}", 1, "Thanks!", en) for i in range(9)] + [("x", 1, "Thanks!", es), ("y", 1, "¡Gracias!", es), ("z", 1, "?", es), ("n", 1, None, es), ("w", 1, "How do I tell whether the rental car is slow?", es), ("t", 1, "thanks", "It is a (")]
+    df = spark.createDataFrame(rows + rows[:3], "conv_id string, turn int, user_text string, assistant_text string").selectExpr("*", "'k' as keys", "1 as short")
+    assert {(r["conv_id"], r["defect_type"]) for r in defects.found(df, model).collect()} == {("x", "wrong_language"), ("w", "wrong_language"), ("t", "truncated_answer")}
+
+
 def test_endings_are_exact(spark, model):
     """Contexts however many keep their own counts, and the joined counts decide as the model held whole does."""
     ends = defects.Endings()
