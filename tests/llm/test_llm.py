@@ -249,26 +249,47 @@ def test_conversations_brute_force(spark):
 
 def test_leakage_finds_all_near_fingerprints():
     rng = np.random.default_rng(1)
-    index = leakage.build({i: " ".join(f"w{rng.integers(300)}" for _ in range(40)) for i in range(20)})
-    flips = index.prints.copy()
-    for _ in range(leakage.RADIUS):
-        flips ^= np.uint64(1) << rng.integers(0, 64, len(flips)).astype(np.uint64)
-    q, w = leakage.near(index, flips)
-    want = {(i, j) for i in range(len(flips)) for j in np.flatnonzero(np.bitwise_count(flips[i] ^ index.prints) <= leakage.RADIUS)}
-    assert set(zip(q.tolist(), w.tolist())) == want
+    index = leakage.build({i: " ".join(f"w{rng.integers(300)}" for _ in range(60)) for i in range(20)})
+    for windows in index.windows:
+        flips = windows.prints.copy()
+        for _ in range(windows.radius):
+            flips ^= np.uint64(1) << rng.integers(0, 64, len(flips)).astype(np.uint64)
+        q, w = leakage.near(windows, flips)
+        want = {(i, j) for i in range(len(flips)) for j in np.flatnonzero(np.bitwise_count(flips[i] ^ windows.prints) <= windows.radius)}
+        assert set(zip(q.tolist(), w.tolist())) == want and len(want) >= len(flips)
+
+
+def test_leakage_prints_are_simhashes():
+    signs = leakage._Signs(frozenset({"a"}))
+    ids = np.array([signs[w] for w in "a b c a d e f g h i a k l m n o p q r s t u v w x y z a b c d e f g h i j k l m n o p q".split()])
+    for size in (*leakage.SIZES, 1, 3, 63):
+        want = [int("".join("01"[int(x >= 0)] for x in signs.table[ids[i : i + size]].astype(int).sum(axis=0)), 2) for i in range(len(ids) - size + 1)]
+        assert leakage.fingerprints(ids, signs, size).tolist() == want
 
 
 def test_leakage_pieces(spark):
     rng = random.Random(5)
     item = " ".join(f"word{rng.randrange(900)}" for _ in range(60))
     ws = item.split()
-    texts = [item, "A b c. " + " ".join(ws[5:30]) + " end", " ".join(ws[:9]), None, "", "x " * 30_000 + item.upper()]
+    changed = [w if i % 13 else "perhaps" for i, w in enumerate(ws)]
+    texts = [item, "A b c. " + " ".join(ws[5:30]) + " end", " ".join(ws[:9]), None, "", "x " * 30_000 + item.upper(), "so " + " ".join(changed), " ".join(ws[:11]) + " and then, much later, " + " ".join(ws[40:52])]
     docs = spark.createDataFrame([(i, t, "c") for i, t in enumerate(texts)] + [(0, item, "c")], "doc_id bigint, text string, item_id string")
     bench = spark.createDataFrame([(7, item), (8, None), (9, "short")], "item_id bigint, text string")
-    assert {(r["doc_id"], r["item_id"]) for r in leakage.found(docs, bench).collect()} == {(0, 7), (1, 7), (5, 7)}
+    assert {(r["doc_id"], r["item_id"]) for r in leakage.found(docs, bench).collect()} == {(0, 7), (1, 7), (5, 7), (6, 7), (7, 7)}
     assert leakage.found(docs.limit(0), bench).count() == 0 and leakage.found(docs, bench.limit(0)).count() == 0
 
 
+def test_leakage_brute_force_and_slices(spark):
+    """All pairs verified by hand give the same rows, whatever the size of a slice."""
+    sf = "/root/testdata/sf0.01"
+    docs, bench = table(spark, sf, "documents"), table(spark, sf, "benchmark")
+    got = {(r["doc_id"], r["item_id"], round(r["share"], 6)) for r in leakage.found(docs, bench).collect()}
+    index = leakage.build(dict(bench.toPandas().dropna(subset=["text"]).drop_duplicates("item_id")[["item_id", "text"]].itertuples(index=False)))
+    want = {(r["doc_id"], i, round(s, 6)) for r in docs.collect() if r["text"] for k, i in enumerate(index.ids) if (s := leakage.share(index, k, leakage.words(r["text"]))) >= leakage.SHARE}
+    assert want and got == want
+    assert got == {(r["doc_id"], r["item_id"], round(r["share"], 6)) for r in leakage.found(docs, bench, size=150).collect()}
+
+
 # 8 mixing
 
 
