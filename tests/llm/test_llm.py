@@ -281,7 +281,7 @@ def test_leakage_pieces(spark):
 
 def test_leakage_brute_force_and_slices(spark):
     """All pairs verified by hand give the same rows, whatever the size of a slice."""
-    sf = "/root/testdata/sf0.01"
+    sf = "/root/testdata/sf0.001"
     docs, bench = table(spark, sf, "documents"), table(spark, sf, "benchmark")
     got = {(r["doc_id"], r["item_id"], round(r["share"], 6)) for r in leakage.found(docs, bench).collect()}
     index = leakage.build(dict(bench.toPandas().dropna(subset=["text"]).drop_duplicates("item_id")[["item_id", "text"]].itertuples(index=False)))
