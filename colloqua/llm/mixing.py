@@ -7,7 +7,8 @@ of the source, and what a capped cell cannot give goes to the others in the next
 part of that number and once more with the probability of the rest, decided by a hash of its id, so the sample needs no
 shuffle and comes out the same on every run. The size of the mix is the largest for which every source can reach its share.
 
-Only cell totals reach the driver; their number is the product of three vocabularies.
+Only cell totals reach the driver; their number is at most the product of three vocabularies, of which that of languages is closed
+(two letters). Texts are tokenised once; the stored rows serve the factors of the subjects, the cells and the sample.
 
 Defined results: sources are matched without case, spaces and signs; documents of unknown or null source or without text are
 left out; a null language is a group of its own; repeat rows of an id count once; a source without documents gets nothing and
@@ -25,22 +26,21 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from colloqua.llm.subjects import INNER, Factors, _matrix, _Slots, mixtures
-from colloqua.session import checkpoint, spread
+from colloqua.llm.subjects import BATCH, Factors, _flat, features, mixtures
+from colloqua.session import checkpoint
 
 #: Vocabulary file of the tokenizer that sizes are counted with, and its splitting pattern (a fixed value).
 VOCABULARY = os.environ.get("COLLOQUA_VOCABULARY", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 ROUNDS = 200
-#: Most cells that are collected and sent to the workers.
-MOST_CELLS = 200_000
+#: Cells up to which their uses are broadcast; more are joined by a shuffle.
+BROADCAST_CELLS = 200_000
 
 
-def _encoding(vocabulary: str):
+def _encoding(vocabulary: bytes):
     import tiktoken
 
-    with open(vocabulary, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, vocabulary.splitlines())}
     return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
@@ -48,27 +48,38 @@ def source_key(source: Column) -> Column:
     return F.regexp_replace(F.lower(F.trim(source)), r"(?U)[\W_]+", "_")
 
 
-def described(documents: DataFrame, factors: Factors, vocabulary: str = VOCABULARY) -> DataFrame:
-    """doc_id, source, lang, topic, tokens of every document, repeat rows once."""
-    shared = documents.sparkSession.sparkContext.broadcast(factors)
-    picked = documents.filter("doc_id is not null and source is not null and text is not null").select(
-        "doc_id", source_key(F.col("source")).alias("source"), F.coalesce(F.lower(F.substring("lang", 1, 2)), F.lit("und")).alias("lang"), "text"
-    )
+def prepared(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
+    """Stored documents with source, lang and size in tokens, as ``subjects.fit`` reads them. The vocabulary is read on the driver."""
+    with open(vocabulary, "rb") as f:
+        shared = documents.sparkSession.sparkContext.broadcast(f.read())
+    made: dict = {}
+
+    def tokens(texts: list[str]) -> list[int]:
+        enc = made.get("encoding") or made.setdefault("encoding", _encoding(shared.value))
+        return [len(x) for x in enc.encode_ordinary_batch(texts, num_threads=1)]
+
+    low = F.lower(F.trim("lang"))
+    lang = F.when(low.rlike("^[a-z]{2}([-_].*)?$"), F.substring(low, 1, 2)).otherwise("und")
+    return features(documents.select("doc_id", source_key(F.col("source")).alias("source"), F.coalesce(lang, F.lit("und")).alias("lang"), "text"), {"doc_id": "long", "source": "string", "lang": "string"}, tokens)
+
+
+def described(rows: DataFrame, factors: Factors) -> DataFrame:
+    """doc_id, source, lang, topic, tokens of every stored document of a source; of repeat rows the greatest."""
+    shared = rows.sparkSession.sparkContext.broadcast(factors)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        f, slots, enc = shared.value, _Slots(), _encoding(vocabulary)
-        k = len(f.subjects)
+        f = shared.value
+        k, names = len(f.subjects), np.array([*f.subjects, "none"], dtype=object)
         for pdf in batches:
-            texts, topics = list(pdf["text"]), []
-            for lo in range(0, len(texts), 500):
-                part = texts[lo : lo + 500]
-                w, _ = mixtures(f.h, len(part), *_matrix(part, slots, f.idf), inner=INNER)
-                topics += [f.subjects[s] if k and w[i, s] > 0.02 else "none" for i, s in enumerate(w[:, :k].argmax(axis=1) if k else [])]
-            tokens = [len(enc.encode_ordinary(t)) for t in texts]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "source": pdf["source"], "lang": pdf["lang"], "topic": topics or "none", "tokens": tokens})
+            for lo in range(0, len(pdf), BATCH):
+                part = pdf.iloc[lo : lo + BATCH]
+                w = mixtures(f.h, *_flat(part, f.idf))[:, :k]
+                topic = np.where(w.max(axis=1) > 0.02, w.argmax(axis=1), k) if k else np.zeros(len(part), int)
+                yield part[["doc_id", "source", "lang"]].assign(topic=names[topic], tokens=part["size"])
 
-    rows = spread(picked).mapInPandas(run, "doc_id long, source string, lang string, topic string, tokens long")
-    return rows.dropDuplicates(["doc_id"])
+    picked = rows.filter("slots is not null and doc_id is not null and source is not null").select("doc_id", "source", "lang", "size", "slots", "counts")
+    out = picked.mapInPandas(run, "doc_id long, source string, lang string, topic string, tokens long")
+    return out.groupBy("doc_id").agg(F.max(F.struct("tokens", "source", "lang", "topic")).alias("m")).select("doc_id", "m.source", "m.lang", "m.topic", "m.tokens")
 
 
 def rake(cells: pd.DataFrame, targets: dict[str, float], repeats: dict[str, int], langs: dict[str, float] | None = None, topics: dict[str, float] | None = None) -> np.ndarray:
@@ -105,21 +116,19 @@ def rake(cells: pd.DataFrame, targets: dict[str, float], repeats: dict[str, int]
     return np.minimum(x, cap) / np.maximum(have, 1.0)
 
 
-def mix(documents: DataFrame, targets: DataFrame, factors: Factors, vocabulary: str = VOCABULARY, seed: int = 1) -> DataFrame:
+def mix(stored: DataFrame, targets: DataFrame, factors: Factors, seed: int = 1) -> DataFrame:
     """doc_id, source, lang, topic, tokens, copies of every document used at least once."""
-    wanted = targets.filter("source is not null").select(source_key(F.col("source")).alias("source"), "target_share", "max_repeats").limit(10_000).collect()
+    wanted = targets.filter("source is not null").select(source_key(F.col("source")).alias("source"), "target_share", "max_repeats").collect()
     share, repeats = {r["source"]: r["target_share"] for r in wanted}, {r["source"]: r["max_repeats"] for r in wanted}
-    rows = checkpoint(described(documents, factors, vocabulary).filter(F.col("source").isin(list(share))))
-    cells = rows.groupBy("source", "lang", "topic").agg(F.sum("tokens").alias("tokens")).limit(MOST_CELLS + 1).toPandas()
-    if len(cells) > MOST_CELLS:
-        raise ValueError(f"more than {MOST_CELLS} cells of source, language and topic")
+    rows = checkpoint(described(stored, factors).filter(F.col("source").isin(list(share))))
+    cells = rows.groupBy("source", "lang", "topic").agg(F.sum("tokens").alias("tokens")).toPandas()
     cells = cells.sort_values(["source", "lang", "topic"]).reset_index(drop=True)
     cells["uses"] = rake(cells, share, repeats)
     table = rows.sparkSession.createDataFrame(cells[["source", "lang", "topic", "uses"]], "source string, lang string, topic string, uses double")
     chance = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     whole = F.floor(F.col("uses") + 1e-9)
     copies = (whole + F.when(chance < F.col("uses") - whole, 1).otherwise(0)).cast("int")
-    placed = rows.join(F.broadcast(table), ["source", "lang", "topic"]).withColumn("copies", copies)
+    placed = rows.join(F.broadcast(table) if len(cells) <= BROADCAST_CELLS else table, ["source", "lang", "topic"]).withColumn("copies", copies)
     return placed.filter("copies > 0").select("doc_id", "source", "lang", "topic", "tokens", "copies")
 
 

@@ -66,12 +66,13 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.found(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select("doc_id", "item_id")
 
 
-def _subjects(spark: SparkSession, sf_dir: str) -> subjects.Factors:
-    return subjects.fit(*(table(spark, sf_dir, t) for t in ("documents", "subject_labels", "subject_areas")))
+def _factors(stored: DataFrame, sf_dir: str) -> subjects.Factors:
+    return subjects.fit(stored, *(table(stored.sparkSession, sf_dir, t) for t in ("subject_labels", "subject_areas")))
 
 
 def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"), _subjects(spark, sf_dir))
+    stored = mixing.prepared(table(spark, sf_dir, "documents"))
+    return mixing.mix(stored, table(spark, sf_dir, "mix_targets"), _factors(stored, sf_dir))
 
 
 def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,14 +80,18 @@ def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.report(p8_mix(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
 
 
+def _found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = subjects.prepared(table(spark, sf_dir, "documents"))
+    return subjects.found(stored, _factors(stored, sf_dir))
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return subjects.found(table(spark, sf_dir, "documents"), _subjects(spark, sf_dir)).select("doc_id", "subject")
+    return _found(spark, sf_dir).select("doc_id", "subject")
 
 
 def p9_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents and mean share of each subject over the corpus."""
-    hits = subjects.found(table(spark, sf_dir, "documents"), _subjects(spark, sf_dir))
-    return hits.groupBy("subject").agg(F.count("*").alias("documents"), F.round(F.avg("share"), 4).alias("mean_share"))
+    return _found(spark, sf_dir).groupBy("subject").agg(F.count("*").alias("documents"), F.round(F.avg("share"), 4).alias("mean_share"))
 
 
 QUERIES = {"p1_found": p1_found, "p1_sanitised": p1_sanitised, "p2_found": p2_found, "p2_segments": p2_segments, "p3_found": p3_found, "p3_restored": p3_restored, "p4_found": p4_found, "p5_found": p5_found, "p7_found": p7_found, "p8_mix": p8_mix, "p8_report": p8_report, "p9_found": p9_found, "p9_composition": p9_composition}

@@ -306,14 +306,51 @@ def test_rake_reaches_targets():
 
 def test_subjects_against_labels(spark):
     sf = "/root/testdata/sf0.01"
-    f = subjects.fit(*(table(spark, sf, t) for t in ("documents", "subject_labels", "subject_areas")))
-    got = subjects.found(table(spark, sf, "documents"), f).toPandas().groupby("doc_id").subject.agg(set)
+    stored = subjects.prepared(table(spark, sf, "documents"))
+    f = subjects.fit(stored, *(table(spark, sf, t) for t in ("subject_labels", "subject_areas")))
+    got = subjects.found(stored, f).toPandas().groupby("doc_id").subject.agg(set)
     labels = pd.read_parquet(f"{sf}/subject_labels.parquet")
     want = labels.assign(s=[subjects._key(x) for x in labels.subject]).groupby("doc_id").s.agg(set)
     hits = sum(len(got.get(d, set()) & s) for d, s in want.items())
     assert hits > 0.8 * sum(map(len, want)) and hits > 0.8 * sum(len(got.get(d, set())) for d in want.index)
-    empty = subjects.found(table(spark, sf, "documents").limit(0), f)
-    assert empty.count() == 0
+    nothing = subjects.prepared(table(spark, sf, "documents").limit(0))
+    assert subjects.found(nothing, f).count() == 0
+    nobody = subjects.fit(nothing, *(table(spark, sf, t).limit(0) for t in ("subject_labels", "subject_areas")))
+    assert subjects.found(stored, nobody).count() == 0
+
+
+def test_mixtures_by_block_equal_plain_updates():
+    rng = np.random.default_rng(2)
+    h = rng.random((5, subjects.SLOTS))
+    h /= h.sum(axis=1, keepdims=True)
+    n = np.array([3, 0, 700, 12, 1, 12, 40])
+    c, v = rng.integers(0, subjects.SLOTS, n.sum()), rng.random(n.sum()).astype(np.float32) + 0.1
+    total = np.zeros((subjects.SLOTS, 5))
+    got, want = subjects.mixtures(h, n, c, v, total=total), []
+    sums = np.zeros((subjects.SLOTS, 5))
+    for lo, m in zip(np.cumsum(n) - n, n):
+        w, hc, x = np.full(5, 0.2), h.T[c[lo : lo + m]], v[lo : lo + m]
+        for _ in range(subjects.INNER if m else 0):
+            w = w * (hc.T @ (x / (hc @ w)))
+            w /= w.sum()
+        want.append(w)
+        part = hc * w
+        np.add.at(sums, c[lo : lo + m], part / part.sum(axis=1, keepdims=True) * x[:, None])
+    assert np.allclose(got, want, atol=1e-4) and np.allclose(total, sums, atol=1e-3)
+
+
+def test_mix_keeps_targets_and_caps(spark):
+    rows = [(i, f"some words about the house number {i} " * (1 + i % 3), ("a b", "A_B", "small")[i % 3], ("en", "EN-us", None, "??", "de")[i % 5]) for i in range(900)] + [(9000, None, "a b", "en"), (None, "x", "a b", "en"), (9001, "x", None, "en"), (9002, "x", "other", "en")]
+    docs = spark.createDataFrame(rows + rows[:20], "doc_id bigint, text string, source string, lang string").selectExpr("*", "1 as size", "2 as topic")
+    targets = spark.createDataFrame([("a b", 0.5, 1), ("small", 0.5, 2), ("gone", 0.1, 1)], "source string, target_share double, max_repeats int")
+    stored = mixing.prepared(docs)
+    labels, areas = spark.createDataFrame([], "doc_id bigint, subject string"), spark.createDataFrame([("science", "house")], "subject string, description string")
+    f = subjects.fit(stored, labels, areas)
+    mixed = mixing.mix(stored, targets, f)
+    got = {r["source"]: r for r in mixing.report(mixed, targets).collect()}
+    assert abs(got["a_b"]["actual_share"] - 0.5) < 0.05 and abs(got["small"]["actual_share"] - 0.5) < 0.05 and got["gone"]["tokens"] == 0
+    assert all(r["most_copies"] <= r["max_repeats"] for r in got.values()) and mixed.count() == mixed.select("doc_id").distinct().count()
+    assert mixing.mix(mixing.prepared(docs.limit(0)), targets, f).count() == 0
 
 
 def test_queries_are_registered():
