@@ -25,7 +25,6 @@ from pyspark.sql import functions as F
 CANDIDATES = ("cp1252", "latin-1", "cp1251", "mac_roman", "cp1250", "iso8859-2", "cp437", "cp1254", "iso8859-15", "cp850", "koi8-r")
 #: Misread as -> intended, for single-byte texts; whole words of letters outside ASCII are recoded.
 SINGLE_BYTE = (("cp1252", "cp1251"), ("latin-1", "koi8-r"), ("cp1251", "koi8-r"), ("koi8-r", "cp1251"), ("mac_roman", "cp1251"))
-LAYERS = 4
 _PUNCT = set("‘’“”„«»–—…€£¡¿§·•™°×½¼¾µ©®’‚†")
 _LETTERS = set("äöüßÄÖÜéèêëàâçîïôùûœæÉÈÊÀÂÇÎÏÔÙÛŒÆáíóúñÁÍÓÚÑãõÃÕåÅøØìòÌÒýÝðþÐÞÿăâșțąćęłńóśźżčďěňřšťůžŠŽČŁŚŻőűğışİŞĞ")
 
@@ -123,7 +122,7 @@ _STRANGE = re.compile("[À-ÿ]{4}|[а-яё][А-ЯЁ]{2}|[А-ЯЁ]?[а-яё][А-
 def restore(text: str) -> str:
     """The text after as many round trips as lower its cost."""
     now = -1.0
-    for _ in range(LAYERS):
+    while True:  # every round lowers the cost by more than half a point
         best, runs, strange = text, _any_run().search(text), _STRANGE.search(text)
         if not (runs or strange):
             break
@@ -156,7 +155,7 @@ _LOST = re.compile(
 )
 _TRACE = re.compile("[âÃÂð√¬ÐÑï�\x80-\x9f]")
 #: What Spark looks for before a text is sent to Python: any two neighbours outside ASCII, or one of the traces.
-SUSPECT = "[^\\x00-\\x7F]{2}|[\\x{FFFD}\\x{80}-\\x{9F}âÃÂð√]"
+SUSPECT = "[^\\x00-\\x7F]{2}|[\\x{FFFD}\\x{80}-\\x{9F}âÃÂð√¬ÐÑ]"
 
 
 def examine(text: str | None) -> tuple[bool, str | None]:
