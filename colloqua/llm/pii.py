@@ -1,12 +1,17 @@
 """Personal data in free text: found, counted by kind and replaced by typed placeholders.
 
-What has a form of its own (e-mail addresses, telephone numbers, numbers a state gives out, street addresses) is matched by
-form. Names have none, so the corpus decides: one pass counts for every term how often it stands where a person is revealed
-(beside a name cue, in a record with an address or number, in the local part of an e-mail address) and how often it occurs at
-all. The log-ratio of the two against the corpus average says how many bits the term tells about a person; terms above
-``BITS`` are disclosing. A disclosing given and family name together are a mention, in any case, order or handle.
-
-Disclosing terms are kept as two bit sets of ``SLOTS`` hash slots, so what reaches the workers has a fixed size however large
+The corpus decides how strongly a term tells of a person. Names have no form. A first pass counts for every term how often it
+stands where a person is revealed by structure (the local part of an e-mail address, a contact line, a title or "my name is") and
+how often it occurs at all; the log-ratio of the two against the corpus average says how many bits the term discloses, and
+terms above ``BITS`` are disclosing. Two more passes learn the contexts: two words after which hardly a doubt is left that a pair of
+disclosing terms follows (``CONTEXT_DOUBT`` bits) reveal a person too, and the pairs that follow them are counted in. A
+disclosing given and family name together are a mention, in any case, order or handle.
+
+E-mail addresses, telephone numbers, numbers a state gives out and street addresses have forms; a form makes a candidate. Forms
+that nothing else shares stand for themselves. A bare run of ten digits is a telephone number only after terms that the corpus
+shows before telephone numbers hardly more rarely than before numbers on the whole, again a log-ratio of counts.
+
+Disclosing terms are kept as bit sets of ``SLOTS`` hash slots, so what reaches the workers has a fixed size however large
 the corpus is.
 
 Defined results: null and empty texts hold nothing; texts are read whole; a kind found several times in a record counts once;
@@ -22,7 +27,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from colloqua.session import checkpoint, spread
@@ -30,6 +36,10 @@ from colloqua.session import checkpoint, spread
 KINDS = ("email", "phone", "id_number", "address", "name")
 #: Bits a term must tell about a person, and how often it must have been seen to tell it.
 BITS, LEAST_SEEN = 4.5, 2
+#: Bits of doubt a context may leave whether a pair of disclosing terms follows, and how often it must have followed.
+CONTEXT_DOUBT, CONTEXT_SEEN = 1.5, 3
+#: Bits by which a term may stand more rarely before telephone numbers than before numbers on the whole.
+PHONE_DOUBT = 2.0
 SLOTS = 1 << 22
 #: Counts a worker gathers before it hands them on.
 FLUSH = 400_000
@@ -54,9 +64,11 @@ _PHONE = re.compile(
     r"|\(\d{3}\) ?\d{3}[-. ]\d{4}(?!\w)"
     r"|(?<![\d.-])\d{3}([.-])\d{3}\1\d{4}(?![\d-]|\.\d)"
     r"|(?<![A-Za-z0-9.-])07\d{3} ?\d{6}(?![\d-])"
-    r"|(?<![A-Za-z0-9.-])(?<!order number )(?<!invoice number )(?<!ticket number )[2-9]\d{2}[2-9]\d{6}(?![\w-]|\.\d)"
     r"|(?i:\b(?:tel|phone|mobile|whatsapp|fax|telefon|téléphone|teléfono|handy)\b)[^\w\n+(]{0,4}\d(?:[ ./-]?\d){6,12}(?![\w-])"
 )
+#: Ten digits that may be a telephone number, and a number with the word before it.
+_BARE = re.compile(r"(?<![A-Za-z0-9.-])[2-9]\d{2}[2-9]\d{6}(?![\w-]|\.\d)")
+_NUMBER = re.compile(r"([^\W\d_]+)[^\w\n(+]{0,5}([(+]?\d(?:[ .()-]{0,2}\d){5,})")
 _CITY = r"(?:,? (?:Apt|Flat|Unit|Suite)\.? \w+| \d{1,2}º \w|, \d{1,2}º \w|, (?:\d{4,5} )?[A-ZÀ-Ý][\w’'-]+(?: [A-ZÀ-Ý][\w’'-]+)?)"
 _ADDRESS = re.compile(
     r"(?:\b(?:Flat|Apt|Unit|Suite)\.? \w+, )?(?<![\w.,])\d{1,5}[A-Za-z]? (?:[A-Z][\w’'-]+ ){1,4}(?:Street|St|Road|Rd|Avenue|Ave|Lane|Ln|Drive|Close|Court|Boulevard|Blvd|Way|Place|Terrace|Square|Crescent|Row|Gardens|Mews)\b\.?"
@@ -76,10 +88,12 @@ _AT_SIGNS = ("@", "(at)", "[at]", "{at}", "<at>")
 #: Letters of one case pattern; handles are split at capitals, digits and signs.
 _TERM = re.compile(r"[A-ZÀ-ÖØ-Þ]?[a-zß-öø-ÿ]+|[A-ZÀ-ÖØ-Þ]+(?![a-zß-öø-ÿ])|[^\W\d_]")
 _WORDS = re.compile(r"[^\W\d_]+")
-#: Phrases before a person's name, in the languages of the corpus, by a word of theirs.
-CUES = {"name": ("name is ", "name: ", 'name": "'), "patient": ("patient: ",), "dr": ("dr. ",), "mr": ("mr. ",), "mrs": ("mrs. ",), "ms": ("ms. ",), "prof": ("prof. ",), "colleague": ("colleague ",), "landlord": ("landlord, ",), "sign": ("sign it as ",), "signed": ("signed by ",), "heiße": ("heiße ",), "appelle": ("m’appelle ", "m'appelle "), "llamo": ("me llamo ",), "chiamo": ("mi chiamo ",), "heet": ("ik heet ",), "firma": ("firma como ",), "signe": ("signe la lettre ",), "unterschreib": ("unterschreib mit ",), "cheers": ("cheers,\n",), "regards": ("regards,\n",), "letter": ("letter to ",), "toast": ("toast for ",)}
+#: General phrases before a person's name, by a word of theirs (fixed values); all others are learnt.
+CUES = {"name": ("name is ", "name: ", 'name": "'), "dr": ("dr. ",), "mr": ("mr. ",), "mrs": ("mrs. ",), "ms": ("ms. ",), "prof": ("prof. ",), "heiße": ("heiße ",), "appelle": ("m’appelle ", "m'appelle "), "llamo": ("me llamo ",), "chiamo": ("mi chiamo ",), "heet": ("ik heet ",)}
 _PAIR = re.compile(r"(?:(?:dr|mr|mrs|ms|prof)\. )?([^\W\d_]{2,})(?: [^\W\d_]\.)?(,? )([^\W\d_]{2,})(?:-[^\W\d_]{2,})?", re.I)
 _RECORD = re.compile(r"(?m)^([^\W\d_]{2,}) ([^\W\d_]{2,}) ?[|;,] ?(?=[<+(\d]|\S+@)")
+#: Two words and, after a space or a sign, two terms that may be a name.
+_BEFORE = re.compile(r"(?=(?<!\w)([^\W\d_]+)[^\w\n]{1,3}([^\W\d_]+)[^\w]{1,3}([^\W\d_]{2,})(?: [^\W\d_]\.)?(,? )([^\W\d_]{2,})(?!\w))")
 _LOCAL = re.compile(r"\b([^\W\d_]{3,})[.-]([^\W\d_]{3,})(?=@| ?\[at\]| ?\(at\))")
 
 
@@ -144,20 +158,29 @@ def _slot(term: str) -> int:
     return zlib.crc32(term.encode()) & (SLOTS - 1)
 
 
-def disclosing(texts: DataFrame, column: str) -> tuple[np.ndarray, np.ndarray]:
-    """Bit sets of the terms that tell of a given and of a family name, from counts over the whole corpus."""
+def _numbers(text: str) -> Iterator[tuple[str, bool]]:
+    """(word before, whether a telephone number by form) of every longer number."""
+    for m in _NUMBER.finditer(text):
+        yield m[1].lower(), bool(_PHONE.search(m[2]))
+
+
+_COUNTS = ("n", "given", "family", "number", "phone")
+
+
+def _term_counts(texts: DataFrame, column: str) -> DataFrame:
+    """term and how often: at all, as a given and a family name by structure, before a number, before a telephone number."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        raw, given, family, tokens = Counter(), Counter(), Counter(), _Tokens()
+        raw, given, family, number, phone, tokens = Counter(), Counter(), Counter(), Counter(), Counter(), _Tokens()
 
         def rows() -> pd.DataFrame:
             every: Counter = Counter()
             for token, n in raw.items():
                 for w in _WORDS.findall(token.lower()):
                     every[w] += n
-            keys = list(every)
-            out = pd.DataFrame({"term": keys, "n": list(every.values()), "given": [given[k] for k in keys], "family": [family[k] for k in keys]})
-            for c in (raw, given, family):
+            keys = list(every.keys() | number.keys())
+            out = pd.DataFrame({"term": keys, **{name: [c[k] for k in keys] for name, c in zip(_COUNTS, (every, given, family, number, phone))}})
+            for c in (raw, given, family, number, phone):
                 c.clear()
             return out
 
@@ -165,33 +188,114 @@ def disclosing(texts: DataFrame, column: str) -> tuple[np.ndarray, np.ndarray]:
             for t in pdf[column]:
                 words = t.split()
                 raw.update(words)
-                if (bits := tokens.bits(words)) & (tokens.CUE | tokens.AT | tokens.RECORD):
+                bits = tokens.bits(words)
+                if bits & (tokens.CUE | tokens.AT | tokens.RECORD):
                     for g, f in _revealed(t, bits):
                         given[g] += 1
                         family[f] += 1
+                if bits & tokens.DIGIT and _DIGITS.search(t):
+                    for w, is_phone in _numbers(t):
+                        number[w] += 1
+                        phone[w] += is_phone
             if len(raw) > FLUSH:
                 yield rows()
         if raw:
             yield rows()
 
-    counts = texts.select(column).filter(F.col(column).isNotNull()).mapInPandas(count, "term string, n long, given long, family long")
-    totals = checkpoint(counts.groupBy("term").agg(*[F.sum(c).alias(c) for c in ("n", "given", "family")]))  # used twice
-    sums = totals.agg(F.sum("n").alias("n"), F.sum("given").alias("given")).first()
+    counts = texts.select(column).filter(F.col(column).isNotNull()).mapInPandas(count, "term string, " + ", ".join(f"{c} long" for c in _COUNTS))
+    return checkpoint(counts.groupBy("term").agg(*[F.sum(c).alias(c) for c in _COUNTS]))  # used several times
+
+
+def _ratio(part: str, whole: str, base: float) -> Column:
+    """Bits that ``part`` of ``whole`` tells against the average."""
+    return F.log2(F.col(part) / F.col(whole) / F.lit(base))
+
+
+def _sets(flagged: DataFrame, key: str, flags: tuple[str, ...]) -> list[np.ndarray]:
+    """Bit sets of the hash slots of ``key`` where a flag holds; at most ``SLOTS`` rows reach the driver."""
+    slot = (F.crc32(F.encode(key, "UTF-8")) % SLOTS).cast("int")
+    slots = flagged.filter(" or ".join(flags)).groupBy(slot.alias("slot")).agg(*[F.max(c).alias(c) for c in flags]).toPandas()
+    out = []
+    for c in flags:
+        held = np.zeros(SLOTS, bool)
+        held[slots.loc[slots[c].astype(bool), "slot"].to_numpy(dtype=np.int64)] = True
+        out.append(np.packbits(held))
+    return out
+
+
+def _told(totals: DataFrame, base: float) -> list[np.ndarray]:
+    seen = totals.filter((F.col("given") + F.col("family") >= LEAST_SEEN) & (F.length("term") >= 2) & (F.col("n") > 0))
+    flags = seen.select("term", *[((F.col(c) > 0) & (_ratio(c, "n", base) >= BITS)).alias(f) for c, f in (("given", "g"), ("family", "f"))])
+    return _sets(flags, "term", ("g", "f"))
+
+
+def _before(text: str) -> Iterator[tuple[str, str, str]]:
+    """(context, given, family) of the pairs of terms after two words; the pair may be turned round by a comma."""
+    for m in _BEFORE.finditer(text.lower()):
+        yield f"{m[1]} {m[2]}", *((m[5], m[3]) if m[4] == ", " else (m[3], m[5]))
+
+
+def _contexts(texts: DataFrame, column: str, given: np.ndarray, family: np.ndarray) -> DataFrame:
+    """context, hits: how often two words stand before a disclosing pair."""
+    shared = texts.sparkSession.sparkContext.broadcast((given, family))
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        finder, hits = Finder(*shared.value), Counter()
+        of = finder.lexicon.__getitem__
+        for pdf in batches:
+            for t in pdf[column]:
+                if finder.tokens.bits(t.split()) & 3 == 3:
+                    hits.update(c for c, g, f in _before(t) if of(g) & 1 and of(f) & 2)
+            if len(hits) > FLUSH:
+                yield pd.DataFrame({"context": list(hits), "hits": list(hits.values())})
+                hits.clear()
+        if hits:
+            yield pd.DataFrame({"context": list(hits), "hits": list(hits.values())})
+
+    rows = texts.select(column).filter(F.col(column).isNotNull()).mapInPandas(count, "context string, hits long")
+    return rows.groupBy("context").agg(F.sum("hits").alias("hits")).filter(F.col("hits") >= CONTEXT_SEEN)
+
+
+def _after(texts: DataFrame, column: str, contexts: DataFrame) -> DataFrame:
+    """context, given, family, n of every pair after one of the contexts; a row without pair counts a context without one."""
+    (held,) = _sets(contexts.select("context", F.lit(True).alias("c")), "context", ("c",))
+    shared = texts.sparkSession.sparkContext.broadcast(held)
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        lexicon, pairs = _Lexicon(shared.value, shared.value), Counter()
+        for pdf in batches:
+            for t in pdf[column]:
+                low = _WORDS.findall(t.lower())
+                asked = {c for c in map(" ".join, zip(low, low[1:])) if lexicon[c]}
+                if asked:
+                    pairs.update(x for x in _before(t) if x[0] in asked)
+            if len(pairs) > FLUSH:
+                yield pd.DataFrame([(*k, n) for k, n in pairs.items()], columns=["context", "given", "family", "n"])
+                pairs.clear()
+        if pairs:
+            yield pd.DataFrame([(*k, n) for k, n in pairs.items()], columns=["context", "given", "family", "n"])
+
+    rows = texts.select(column).filter(F.col(column).isNotNull()).mapInPandas(count, "context string, given string, family string, n long")
+    return rows.groupBy("context", "given", "family").agg(F.sum("n").alias("n"))
+
+
+def disclosing(texts: DataFrame, column: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bit sets of the terms that tell of a given name, of a family name and of a telephone number, from counts over the whole corpus."""
+    totals = _term_counts(texts, column)
+    sums = totals.agg(*[F.sum(c).alias(c) for c in _COUNTS]).first()
+    none = np.zeros(SLOTS // 8, np.uint8)
+    (phone,) = _sets(totals.filter("phone > 0").select("term", (_ratio("phone", "number", sums["phone"] / sums["number"]) >= -PHONE_DOUBT).alias("p")), "term", ("p",)) if sums["phone"] else (none,)
     if not sums["n"] or not sums["given"]:
-        return np.zeros(SLOTS // 8, np.uint8), np.zeros(SLOTS // 8, np.uint8)
+        return none, none, phone
     base = sums["given"] / sums["n"]
-    slot = (F.crc32(F.encode("term", "UTF-8")) % SLOTS).cast("int")
-    bits = lambda c: F.log2(F.col(c) / F.col("n") / F.lit(base))
-    told = totals.filter((F.col("given") + F.col("family") >= LEAST_SEEN) & (F.length("term") >= 2)).select(
-        slot.alias("slot"), ((F.col("given") > 0) & (bits("given") >= BITS)).alias("g"), ((F.col("family") > 0) & (bits("family") >= BITS)).alias("f")
-    )
-    sets = []
-    slots = told.filter("g or f").groupBy("slot").agg(F.max("g").alias("g"), F.max("f").alias("f")).toPandas()  # at most SLOTS rows
-    for c in ("g", "f"):
-        flags = np.zeros(SLOTS, bool)
-        flags[slots.loc[slots[c], "slot"].to_numpy(dtype=np.int64)] = True
-        sets.append(np.packbits(flags))
-    return sets[0], sets[1]
+    first = _told(totals, base)
+    after = checkpoint(_after(texts, column, contexts := checkpoint(_contexts(texts, column, *first))))
+    learnt = after.groupBy("context").agg(F.sum("n").alias("n")).join(contexts, "context").filter(_ratio("hits", "n", 1.0) >= -CONTEXT_DOUBT).select("context")
+    pairs = after.join(learnt, "context", "left_semi")
+    side = lambda c: pairs.select(F.col(c).alias("term"), *[(F.col("n") if c == o else F.lit(0)).alias(o) for o in ("given", "family")])
+    more = side("given").unionByName(side("family")).groupBy("term").agg(F.sum("given").alias("more_given"), F.sum("family").alias("more_family"))
+    both = totals.join(more, "term", "left").select("term", "n", *[(F.col(c) + F.coalesce(f"more_{c}", F.lit(0))).alias(c) for c in ("given", "family")])
+    return *_told(both, base), phone
 
 
 class _Lexicon(dict):
@@ -211,10 +315,20 @@ class _Lexicon(dict):
 
 
 class Finder:
-    def __init__(self, given: np.ndarray, family: np.ndarray) -> None:
+    def __init__(self, given: np.ndarray, family: np.ndarray, phone: np.ndarray | None = None) -> None:
         self.lexicon = _Lexicon(given, family)
+        self.before_phone = None if phone is None else _Lexicon(phone, phone)
         self.tokens = _Tokens(self.lexicon)
 
+    def _bare(self, text: str) -> list[tuple[int, int]]:
+        """Runs of ten digits after nothing, a disclosing name or a term that stands before telephone numbers."""
+        out = []
+        for m in _BARE.finditer(text):
+            words = _WORDS.findall(text[max(0, m.start() - 60) : m.start()].rpartition("\n")[2].lower())
+            if not words or self.lexicon[words[-1]] or (self.before_phone is not None and self.before_phone[words[-1]]):
+                out.append(m.span())
+        return out
+
     def names(self, text: str) -> list[tuple[int, int]]:
         of, out = self.lexicon.__getitem__, []
         terms = [(m.start(), m.end(), of(m.group().lower())) for m in _TERM.finditer(text)]
@@ -261,6 +375,7 @@ class Finder:
                 take([m.span() for m in _ID.finditer(rest)], "id_number")
                 take([m.span(1) for m in _ID_AFTER.finditer(rest) if sum(c.isdigit() for c in m[1]) >= 5], "id_number")
                 take([m.span() for m in _PHONE.finditer(rest)], "phone")
+                take(self._bare(rest), "phone")
             if bits & _Tokens.STREET:
                 take([m.span() for m in _ADDRESS.finditer(rest)], "address")
         if bits & 3 == 3:
@@ -286,18 +401,16 @@ def fields(conversations: DataFrame, comments: DataFrame) -> DataFrame:
     return one.unionByName(two).filter("record_id is not null and text is not null and text != ''")
 
 
-def _spread(texts: DataFrame) -> tuple:
-    given, family = disclosing(texts, "text")
-    sc = texts.sparkSession.sparkContext
-    return sc.broadcast(given), sc.broadcast(family)
+def _shared(texts: DataFrame) -> Broadcast:
+    return texts.sparkSession.sparkContext.broadcast(disclosing(texts, "text"))
 
 
 def found(texts: DataFrame) -> DataFrame:
     """src_table, field, record_id, pii_type: one row per kind of personal data in a record's field."""
-    given, family = _spread(texts)
+    shared = _shared(texts)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        finder, known = Finder(given.value, family.value), {}
+        finder, known = Finder(*shared.value), {}
         for pdf in batches:
             out = []
             for src, field, key, text in zip(pdf["src_table"], pdf["field"], pdf["record_id"], pdf["text"]):
@@ -318,10 +431,10 @@ def found(texts: DataFrame) -> DataFrame:
 
 def sanitised(texts: DataFrame) -> DataFrame:
     """src_table, field, record_id, text: every text with placeholders, repeat rows once."""
-    given, family = _spread(texts)
+    shared = _shared(texts)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        finder = Finder(given.value, family.value)
+        finder = Finder(*shared.value)
         for pdf in batches:
             yield pdf.assign(text=[finder.sanitise(t) for t in pdf["text"]])
 

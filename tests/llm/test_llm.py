@@ -26,7 +26,7 @@ def _finder(given=("anna",), family=("berg", "holm")):
 
 @pytest.mark.parametrize("text,kinds", [
     ("write to a.b+c@mail.example.net now", {"email"}), ("x_y [at] mail [dot] example [dot] net", {"email"}), ("the tag is v27@latest, @app.route", set()),
-    ("call +1 202-555-0188", {"phone"}), ("(415) 555-0171", {"phone"}), ("tel_303-555-0150", {"phone"}), ("Build 4.46.555.0160 broke", set()), ("Order number 94817494452", set()),
+    ("call +1 202-555-0188", {"phone"}), ("(415) 555-0171", {"phone"}), ("2025550148", {"phone"}), ("order number 2025550148", set()), ("tel_303-555-0150", {"phone"}), ("Build 4.46.555.0160 broke", set()), ("Order number 94817494452", set()),
     ("SSN 921-59-3099", {"id_number"}), ("passport no. X3322924", {"id_number"}), ("QQ 63 91 51 C", {"id_number"}), ("filed as 978-0-00-1200-72 on 2031-06-16", set()),
     ("at 296 Saltmarsh Ave, Neudorfen", {"address"}), ("PO Box 105, X", {"address"}), ("Kirchstraße 30, 01440 Osterhaven", {"address"}), ("level 72 of Street Runner 3", set()),
     ("by ANNA BERG", {"name"}), ("berg, anna", {"name"}), ("Anna K. Berg-Holm", {"name"}), ("real_anna_berg", {"name"}), ("AnnaBerg88", {"name"}), ("Anna K. came", set()), ("Berg & Holm Ltd", set()), ("", set()), (None, set()),
@@ -49,6 +49,19 @@ def test_personal_edges(spark):
     assert pii.found(pii.fields(conv.limit(0), com.limit(0))).count() == 0
 
 
+def test_contexts_and_phones_are_learnt(spark):
+    """A phrase that the corpus shows before known names reveals new ones; ten digits are a phone number after words like those before others."""
+    known = [("anna", "berg"), ("omar", "holm"), ("lena", "varga")]
+    rows = [f"mail {g}.{f}@example.org or write" for g, f in known] * 4
+    rows += [f"a toast for {g} {f} tonight" for g, f in known] * 3 + ["a toast for Rosa Quist tonight", "so call Rosa Quist now"] * 2
+    rows += ["the house is big and the garden is green"] * 60 + ["call +44 20 7946 0573 now"] * 3 + ["order 12345678901 and order 345678901234 came"] * 5
+    texts = spark.createDataFrame([("t", "f", str(i), t) for i, t in enumerate(rows)] + [("t", "f", "bare", "call 2025550148 now"), ("t", "f", "order", "order 2025550148 came"), ("t", "f", "n", None)], "src_table string, field string, record_id string, text string")
+    got = {(r["record_id"], r["pii_type"]) for r in pii.found(texts).collect()}
+    quist = {str(i) for i, t in enumerate(rows) if "Quist" in t}
+    assert {(q, "name") for q in quist} <= got and ("bare", "phone") in got and ("order", "phone") not in got
+    assert not {r for r, _ in got} & {str(i) for i, t in enumerate(rows) if "house" in t or "order" in t}
+
+
 # 2 languages
 
 
