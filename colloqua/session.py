@@ -6,8 +6,8 @@ import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Bytes of input up to which ``spread`` may move rows, and least bytes of a partition it makes.
-SPREAD_BELOW, SPREAD_LEAST = 1 << 30, 1 << 18
+#: Estimated bytes of input up to which ``spread`` may move rows, and least bytes of a partition it makes.
+SPREAD_BELOW, SPREAD_LEAST = 1 << 30, 1 << 14
 
 
 def local_session(cores: int | str = 8, shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
