@@ -33,8 +33,8 @@ from colloqua.session import checkpoint, spread
 SLOTS = 1 << 16
 #: Most labelled documents that seeds are taken from.
 LABELLED = 20_000
-#: Components without subject, passes over the corpus, updates of a mixture within a pass.
-REST, PASSES, INNER = 4, 3, 12
+#: Components without subject, passes over the corpus, updates of a mixture within a pass and for the result.
+REST, PASSES, PASS_INNER, INNER = 4, 3, 6, 12
 #: Least share of a document's subject mass; least documents that a term occurs in.
 SHARE, LEAST_DF = 0.2, 3
 _TERM = re.compile(r"[^\W\d_]{3,}")
@@ -208,7 +208,7 @@ def fit(rows: DataFrame, labels: DataFrame, areas: DataFrame, passes: int = PASS
             total = np.zeros((SLOTS, k))
             for pdf in batches:
                 for lo in range(0, len(pdf), BATCH):
-                    mixtures(h, *_flat(pdf.iloc[lo : lo + BATCH], idf), total=total)
+                    mixtures(h, *_flat(pdf.iloc[lo : lo + BATCH], idf), inner=PASS_INNER, total=total)
             at = np.flatnonzero(total.sum(axis=1))
             yield pd.DataFrame({"slot": at, **{f"c{i}": total[at, i] for i in range(k)}})
 
