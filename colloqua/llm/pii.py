@@ -258,13 +258,19 @@ def _contexts(texts: DataFrame, column: str, given: np.ndarray, family: np.ndarr
 
 def _after(texts: DataFrame, column: str, contexts: DataFrame) -> DataFrame:
     """context, given, family, n of every pair after one of the contexts; a row without pair counts a context without one."""
-    (held,) = _sets(contexts.select("context", F.lit(True).alias("c")), "context", ("c",))
+    word, yes = F.split("context", " "), F.lit(True)
+    held = [_sets(contexts.select(c.alias("t"), yes.alias("c")), "t", ("c",))[0] for c in (word[0], word[1], F.col("context"))]
     shared = texts.sparkSession.sparkContext.broadcast(held)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        lexicon, pairs = _Lexicon(shared.value, shared.value), Counter()
+        first, second, whole = shared.value
+        lexicon, places, pairs = _Lexicon(whole, whole), _Places(first, second), Counter()
+        of = places.__getitem__
         for pdf in batches:
             for t in pdf[column]:
+                at = list(map(of, t.split()))
+                if not any(a & 1 and b & 2 for a, b in zip(at, at[1:])) and not any(a & 4 for a in at):
+                    continue
                 low = _WORDS.findall(t.lower())
                 asked = {c for c in map(" ".join, zip(low, low[1:])) if lexicon[c]}
                 if asked:
@@ -314,6 +320,21 @@ class _Lexicon(dict):
         return out
 
 
+class _Places(dict):
+    """Raw token -> bits: 1 it ends in the first word of a context, 2 it starts with a second word, 4 it holds a first and a second."""
+
+    def __init__(self, first: np.ndarray, second: np.ndarray) -> None:
+        self.first, self.second = _Lexicon(first, first), _Lexicon(second, second)
+
+    def __missing__(self, token: str) -> int:
+        words = _WORDS.findall(token.lower())
+        out = (1 if words and self.first[words[-1]] else 0) | (2 if words and self.second[words[0]] else 0) | (4 if any(self.first[w] and self.second[v] for w, v in zip(words, words[1:])) else 0)
+        if len(self) > 300_000:
+            self.clear()
+        self[token] = out
+        return out
+
+
 class Finder:
     def __init__(self, given: np.ndarray, family: np.ndarray, phone: np.ndarray | None = None) -> None:
         self.lexicon = _Lexicon(given, family)
