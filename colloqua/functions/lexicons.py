@@ -14,6 +14,6 @@ FUNCTION_WORDS = {
 FORMAL_KEYWORDS = ("model", "schema", "uml", "diagram", "binding", "acceptance criteria", "entity", "pipeline", "specification", "constraint", "invariant", "precondition", "postcondition", "ontology", "taxonomy", "relationship", "attribute")
 CODE_KEYWORDS = ("def ", "class ", "import ", "from ", "function", "const ", "let ", "var ", "return", "select ", "where ", "insert ", "public ", "private ", "void ", "int ", "if (", "for (", "while (", "switch (")
 CODE_SIGNS = ("{", "}", ";", "()", "=>", "->", "::")
-#: Small polarity lexicon of the default sentiment scorer.
-POSITIVE = "good great better best reliable simple careful modern gentle complete forgiving honest clear nice happy love like helpful useful easy fine thanks correct true success fast"
-NEGATIVE = "bad worse worst brittle patchy noisy slow cheap shallow hidden strict quirky manual wrong fail fails mistake mistakes problem hate difficult hard false error broken invented waste sorry"
+#: General polarity lexicon of the default sentiment scorer; ``measures.scored`` takes any other.
+POSITIVE = "good great better best excellent nice happy glad love loved like helpful useful easy fine thanks thank correct true success clear beautiful perfect wonderful amazing reliable safe pleasant enjoy enjoyed win won positive agree brilliant comfortable effective fair favourite fun gentle honest kind improve improved impressive strong welcome worth"
+NEGATIVE = "bad worse worst wrong fail fails failed failure mistake mistakes problem problems hate hated difficult hard false error errors broken sorry sad angry awful terrible horrible poor ugly boring useless unsafe pain painful fear afraid lose lost negative disagree annoying confusing dangerous disappointing dirty unfair weak waste stupid sick ugly trouble unpleasant"

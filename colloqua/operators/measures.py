@@ -66,27 +66,30 @@ def measured(pairs: DataFrame) -> DataFrame:
     )
 
 
-#: Closed classes of the default tagger; other words are tagged by ending.
-_CLOSED = {w: t for t, ws in (("DET", FUNCTION_WORDS["articles"] + " this that these those every each"), ("ADP", FUNCTION_WORDS["prepositions"]), ("PRON", FUNCTION_WORDS["pronouns"]), ("AUX", FUNCTION_WORDS["aux_verbs"]), ("CCONJ", "and or but nor yet"), ("SCONJ", "although because if since though unless whereas while"), ("PART", "not to n't"), ("ADV", FUNCTION_WORDS["adverbs_common"])) for w in ws.split()}
-
-
-def rule_tags(text: str | None) -> list[str]:
-    """Coarse part-of-speech tags by closed classes and endings."""
-    out = []
-    for w in (text or "").split():
-        core = w.strip(".,;:!?\"'()[]")
-        if not core:
-            out.append("PUNCT")
-        elif core[0].isdigit():
-            out.append("NUM")
-        else:
-            low = core.lower()
-            out.append(_CLOSED.get(low) or ("ADV" if low.endswith("ly") else "VERB" if low.endswith(("ing", "ed", "ise", "ize", "ify")) else "ADJ" if low.endswith(("ous", "ful", "ive", "able", "ible", "al", "ic")) else "PROPN" if core[0].isupper() and out else "NOUN"))
-    return out
+#: Closed classes of the default tagger, in the order they are tried; other words are tagged by ending (fixed values).
+CLOSED = (("DET", FUNCTION_WORDS["articles"] + " this that these those every each"), ("ADP", FUNCTION_WORDS["prepositions"]), ("PRON", FUNCTION_WORDS["pronouns"]), ("AUX", FUNCTION_WORDS["aux_verbs"]), ("CCONJ", "and or but nor yet"), ("SCONJ", "although because if since though unless whereas while"), ("PART", "not to n't"), ("ADV", FUNCTION_WORDS["adverbs_common"]))
+ENDINGS = (("ADV", "ly"), ("VERB", "ing|ed|ise|ize|ify"), ("ADJ", "ous|ful|ive|able|ible|al|ic"))
+SIGNS = ".,;:!?\"'()[]"
+
+
+def rule_tags(text: Column) -> Column:
+    """Coarse part-of-speech tags of the different words by closed classes and endings; signs around a word are dropped."""
 
+    def tag(w: Column) -> Column:
+        core, low = w["core"], w["low"]
+        out = F.when(core == "", "PUNCT").when(core.rlike(r"^[0-9]"), "NUM")
+        for name, listed_ in CLOSED:
+            out = out.when(low.isin(*listed_.split()), name)
+        for name, ends in ENDINGS:
+            out = out.when(low.rlike(f"({ends})$"), name)
+        return out.when(core.rlike(r"^\p{Lu}"), "PROPN").otherwise("NOUN")
 
-def tagged(df: DataFrame, column: str, to: str, tagger: Callable[[str | None], list[str]] = rule_tags) -> DataFrame:
-    """``df`` with the tags of a text column; any tagger fits, loaded once per worker."""
+    cores = F.array_distinct(F.transform(words(text), lambda w: F.btrim(w, F.lit(SIGNS))))
+    return F.transform(F.transform(cores, lambda c: F.struct(c.alias("core"), F.lower(c).alias("low"))), tag)
+
+
+def tagged(df: DataFrame, column: str, to: str, tagger: Callable[[str | None], list[str]]) -> DataFrame:
+    """``df`` with the tags of a text column by any Python tagger, loaded once per worker."""
 
     @F.pandas_udf("array<string>")
     def tags(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -96,6 +99,61 @@ def tagged(df: DataFrame, column: str, to: str, tagger: Callable[[str | None], l
     return df.withColumn(to, tags(column))
 
 
+def scored(df: DataFrame, column: str, to: str, scorer: Callable[[list[str | None]], list[float]], batch: int = 64) -> DataFrame:
+    """``df`` with the polarity of a text column by any Python scorer of batches."""
+
+    @F.pandas_udf("double")
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in batches:
+            texts = list(s)
+            yield pd.Series([x for lo in range(0, len(texts), batch) for x in scorer(texts[lo : lo + batch])], dtype="float64")
+
+    return df.withColumn(to, score(column))
+
+
 def pos_jaccard(pairs: DataFrame) -> DataFrame:
-    both = tagged(tagged(pairs, "user_text", "user_tags"), "assistant_text", "assistant_tags")
-    return both.withColumn("pos_jaccard", jaccard(F.col("user_tags"), F.col("assistant_tags"))).drop("user_tags", "assistant_tags")
+    both = pairs.withColumns({"_u": rule_tags(F.col("user_text")), "_a": rule_tags(F.col("assistant_text"))})
+    return both.withColumn("pos_jaccard", jaccard(F.col("_u"), F.col("_a"))).drop("_u", "_a")
+
+
+def unique_messages(pairs: DataFrame) -> DataFrame:
+    """message_id, text of both sides of the pairs, once per id."""
+    side = lambda s: pairs.select(F.col(f"{s}_message_id").alias("message_id"), F.col(f"{s}_text").alias("text"))
+    return side("user").unionByName(side("assistant")).filter("message_id is not null").groupBy("message_id").agg(F.max("text").alias("text"))
+
+
+def hashed_embedding(text: Column, slots: int = 64) -> Column:
+    """Unit vector of hashed word counts (first 32 bits of md5 modulo ``slots``); the default in place of a neural embedder. Zero without words."""
+    at = F.transform(words(F.lower(text)), lambda w: (F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("long") % slots).cast("int"))
+    counts = F.transform(F.sequence(F.lit(0), F.lit(slots - 1)), lambda i: F.size(F.filter(at, lambda x: x == i)).cast("double"))
+    norm = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda t, x: t + x * x))
+    return F.transform(counts, lambda x: F.when(norm > 0, x / norm).otherwise(F.lit(0.0)))
+
+
+def embedded(messages: DataFrame, embedder: Callable[[list[str]], list] | None = None, batch: int = 256) -> DataFrame:
+    """message_id, embedding of unique messages by a Python embedder of batches, loaded once per worker, or by hashing."""
+    if embedder is None:
+        return messages.select("message_id", hashed_embedding(F.col("text")).alias("embedding"))
+
+    @F.pandas_udf("array<double>")
+    def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in batches:
+            texts = [t or "" for t in s]
+            yield pd.Series([[float(v) for v in x] for lo in range(0, len(texts), batch) for x in embedder(texts[lo : lo + batch])])
+
+    return messages.select("message_id", embed("text").alias("embedding"))
+
+
+def looked_up(pairs: DataFrame, values: DataFrame, column: str) -> DataFrame:
+    """The pairs with ``user_{column}`` and ``assistant_{column}`` from a table by message_id, null where it has none."""
+    out = pairs
+    for s in ("user", "assistant"):
+        out = out.join(values.select(F.col("message_id").alias(f"{s}_message_id"), F.col(column).alias(f"{s}_{column}")), f"{s}_message_id", "left")
+    return out
+
+
+def with_cross_checks(pairs: DataFrame, messages: DataFrame) -> DataFrame:
+    """Cross-checks filled from the messages' texts where they are null; an unknown message gives an empty one."""
+    texts = looked_up(pairs, messages, "text")
+    fill = {f"{s}_cross_check_5": F.coalesce(f"{s}_cross_check_5", F.substring(f"{s}_text", 1, 5), F.lit("")) for s in ("user", "assistant")}
+    return texts.withColumns(fill).drop("user_text", "assistant_text")

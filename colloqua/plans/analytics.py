@@ -52,7 +52,7 @@ def _semantic(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _merged(spark: SparkSession, d: str) -> DataFrame:
-    base = measures.measured(_pairs(spark, d)).drop("user_text", "assistant_text")
+    base = measures.measured(_pairs(spark, d)).drop("user_text", "assistant_text", "model")
     about = collect.first_source(pairs.latest_fetch(table(spark, d, "conversations_raw"), "messages", "reddit_sources"))
     return merge.merged(base, {"semantic": _semantic(spark, d)}, about.select("conv_id", F.col("subreddit").alias("topic")))
 
@@ -128,7 +128,7 @@ def scan_messages(spark: SparkSession, d: str) -> DataFrame:
 
 @query("turn_pairs", f"WITH {_PAIR} SELECT conv_id, turn, direction, conv_id || '_' || upos || '_user' AS user_message_id, conv_id || '_' || apos || '_assistant' AS assistant_message_id, substr(u, 1, 5) AS user_cross_check_5, substr(a, 1, 5) AS assistant_cross_check_5 FROM pair")
 def turn_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return _pairs(spark, d).drop("user_text", "assistant_text", "model_slug")
+    return _pairs(spark, d).drop("user_text", "assistant_text", "model_slug", "model")
 
 
 @query("pair_directions", f"WITH {_PAIR} SELECT direction, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (), 6) AS pct FROM pair GROUP BY direction")
@@ -173,7 +173,17 @@ def token_estimate(spark: SparkSession, d: str) -> DataFrame:
     return measures.measured(_pairs(spark, d)).select("conv_id", "turn", F.col("n_tokens_total").cast("bigint").alias("n_tokens_total"))
 
 
-@query("pos_jaccard")
+def _tags(c: str) -> str:
+    core = f"trim(w, '{measures.SIGNS.replace(chr(39), chr(39) * 2)}')"
+    closed = " ".join(f"WHEN list_contains({_listed(ws)}, lower({core})) THEN '{t}'" for t, ws in measures.CLOSED)
+    ends = " ".join(f"WHEN regexp_matches(lower({core}), '({e})$') THEN '{t}'" for t, e in measures.ENDINGS)
+    return f"list_distinct(list_transform({_split(c)}, lambda w: CASE WHEN {core} = '' THEN 'PUNCT' WHEN regexp_matches({core}, '^[0-9]') THEN 'NUM' {closed} {ends} WHEN regexp_matches({core}, '^\\p{{Lu}}') THEN 'PROPN' ELSE 'NOUN' END))"
+
+
+_POS = f"pos AS (SELECT conv_id, turn, {_tags('u')} AS ut, {_tags('a')} AS atg FROM pair), posj AS (SELECT conv_id, turn, CASE WHEN len(list_distinct(list_concat(ut, atg))) > 0 THEN len(list_intersect(ut, atg)) / len(list_distinct(list_concat(ut, atg))) END AS pos_jaccard FROM pos)"
+
+
+@query("pos_jaccard", f"WITH {_PAIR}, {_POS} SELECT conv_id, turn, round(pos_jaccard, 6) AS pos_jaccard FROM posj")
 def pos_jaccard(spark: SparkSession, d: str) -> DataFrame:
     return measures.pos_jaccard(_pairs(spark, d)).select("conv_id", "turn", _r("pos_jaccard"))
 
@@ -198,9 +208,10 @@ def measure_describe(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("structural_features", f"""WITH {_MSG}, x AS (SELECT *, coalesce(length(text), 0) AS n FROM msg) SELECT conv_id, count(*) AS total_turns, count(*) FILTER (role = 'user') AS user_turns, count(*) FILTER (role = 'assistant') AS assistant_turns, count(*) FILTER (role = 'system') AS system_turns,
- round(coalesce(avg(n) FILTER (role = 'user'), 0), 6) AS avg_user_message_length, round(coalesce(avg(n) FILTER (role = 'assistant'), 0), 6) AS avg_assistant_message_length, sum(n)::BIGINT AS total_conversation_length, coalesce(sum(n) FILTER (role = 'user'), 0)::BIGINT AS user_text_length, coalesce(sum(n) FILTER (role = 'assistant'), 0)::BIGINT AS assistant_text_length FROM x GROUP BY conv_id""")
+ round(coalesce(avg(n) FILTER (role = 'user'), 0), 6) AS avg_user_message_length, round(coalesce(avg(n) FILTER (role = 'assistant'), 0), 6) AS avg_assistant_message_length, sum(n)::BIGINT AS total_conversation_length, coalesce(sum(n) FILTER (role = 'user'), 0)::BIGINT AS user_text_length, coalesce(sum(n) FILTER (role = 'assistant'), 0)::BIGINT AS assistant_text_length,
+ {", ".join(f"sum(coalesce((length(text) - length(replace(text, '{p}', ''))) // {len(p)}, 0))::BIGINT AS {k}" for k, p in structure.PLACEHOLDERS.items())}, bool_or(coalesce({" OR ".join(f"contains(text, '{p}')" for p in structure.PLACEHOLDERS.values())}, false)) AS has_any_block FROM x GROUP BY conv_id""")
 def structural_features(spark: SparkSession, d: str) -> DataFrame:
-    f = structure.features(_messages(spark, d)).drop(*structure.PLACEHOLDERS, "has_any_block")
+    f = structure.features(_messages(spark, d))
     return f.withColumns({c: F.round(c, 6) for c in ("avg_user_message_length", "avg_assistant_message_length")})
 
 
@@ -238,7 +249,7 @@ for _n, _p, _t in (("inline_code", "`([^`]+)`", "$1"), ("bold", r"\*\*([^*]+)\*\
 
 
 @query("topic_documents", f"""WITH {_MSG}, ok AS (SELECT conv_id, pos, role, trim(text) AS t FROM msg WHERE role IN ('user','assistant') AND text IS NOT NULL AND regexp_matches(text, '[^{_WS}]') AND NOT regexp_matches(trim(text), '^[{{\\[]')),
-v AS (SELECT conv_id, substr(string_agg(t, chr(10) ORDER BY pos) FILTER (role = 'user'), 1, 20000) AS user_doc, substr(string_agg(t, chr(10) ORDER BY pos) FILTER (role = 'assistant'), 1, 20000) AS assistant_doc, substr(string_agg(t, chr(10) ORDER BY pos), 1, 20000) AS combined_doc FROM ok GROUP BY conv_id)
+v AS (SELECT conv_id, string_agg(t, chr(10) ORDER BY pos) FILTER (role = 'user') AS user_doc, string_agg(t, chr(10) ORDER BY pos) FILTER (role = 'assistant') AS assistant_doc, string_agg(t, chr(10) ORDER BY pos) AS combined_doc FROM ok GROUP BY conv_id)
 SELECT * FROM v WHERE user_doc <> '' AND assistant_doc <> '' AND combined_doc <> ''""")
 def topic_documents(spark: SparkSession, d: str) -> DataFrame:
     return structure.documents_of(_messages(spark, d))
@@ -511,16 +522,16 @@ def top_without_ties(spark: SparkSession, d: str) -> DataFrame:
     return stats.top(ranked, ["metric"], F.asc("_o"), 3, ties=False).drop("_o")
 
 
-_MARG = f"{_LONG}, marg AS (SELECT metric, topic, direction, abs(turn) AS abs_turn, avg(value) AS estimate, stddev_samp(value) / sqrt(count(value)) AS std_error, count(DISTINCT conv_id) AS weight FROM long WHERE value IS NOT NULL AND abs(turn) <= 5 GROUP BY ALL)"
+_MARG = f"{_LONG}, marg AS (SELECT metric, topic, direction, abs(turn) AS abs_turn, avg(value) AS estimate, stddev_samp(value) / sqrt(count(value)) AS std_error, count(DISTINCT conv_id) AS weight FROM long WHERE value IS NOT NULL GROUP BY ALL)"
 
 
 def _marginal(spark: SparkSession, d: str, *by: str) -> DataFrame:
-    """Estimates over every turn. ``_MARG`` and the SQL of ``direction_contrast`` hold turns up to 5 only."""
+    """Estimates over every turn."""
     long = stats.long_form(_merged(spark, d).withColumn("abs_turn", F.abs("turn")), ["conv_id", "topic", "direction", "abs_turn"], METRICS).filter("value is not null")
     return long.groupBy(*by).agg(F.avg("value").alias("estimate"), (F.stddev_samp("value") / F.sqrt(F.count("value").cast("double"))).alias("std_error"), F.countDistinct("conv_id").alias("weight"))
 
 
-@query("direction_contrast", f"{'WITH ' + _LONG}, g AS (SELECT metric, abs(turn) AS abs_turn, direction, avg(value) AS e, stddev_samp(value) / sqrt(count(value)) AS s FROM long WHERE value IS NOT NULL AND abs(turn) <= 5 GROUP BY ALL) SELECT a.metric, a.abs_turn, round(a.e - b.e, 6) AS difference, round(sqrt(a.s * a.s + b.s * b.s), 6) AS std_error FROM g a JOIN g b ON a.metric = b.metric AND a.abs_turn = b.abs_turn AND a.direction = 'user→assistant' AND b.direction = 'assistant→user'")
+@query("direction_contrast", f"{'WITH ' + _LONG}, g AS (SELECT metric, abs(turn) AS abs_turn, direction, avg(value) AS e, stddev_samp(value) / sqrt(count(value)) AS s FROM long WHERE value IS NOT NULL GROUP BY ALL) SELECT a.metric, a.abs_turn, round(a.e - b.e, 6) AS difference, round(sqrt(a.s * a.s + b.s * b.s), 6) AS std_error FROM g a JOIN g b ON a.metric = b.metric AND a.abs_turn = b.abs_turn AND a.direction = 'user→assistant' AND b.direction = 'assistant→user'")
 def direction_contrast(spark: SparkSession, d: str) -> DataFrame:
     c = stats.contrast(_marginal(spark, d, "metric", "abs_turn", "direction"), ["metric", "abs_turn"], "user→assistant", "assistant→user")
     return c.select("metric", "abs_turn", _r("difference"), _r("std_error"))
