@@ -90,19 +90,20 @@ def parent_child_links(raw: DataFrame) -> DataFrame:
     """share_id, child_kind, parent_key, child_key of all nine kinds from one scan and one ``inline``."""
     share = lambda _: F.col("share_id")
     pos = lambda p: p["pos"].cast("string")
-    keys = F.transform("nodes", lambda n: n["node_id"])
+    # parents that are no key: a hashed set difference, empty in sound payloads, so edges need no search among all keys
+    unknown = F.array_except(F.filter(F.transform("nodes", lambda n: n["parent"]), lambda p: p.isNotNull()), F.transform("nodes", lambda n: n["node_id"]))
     links = F.concat(
         _links("source", F.filter("reddit_sources", lambda s: s["name"].isNotNull()), share, lambda s: s["name"]),
         _links("moderation", F.filter("conversation_metadata.moderation_results", lambda m: m["id"].isNotNull()), share, lambda m: m["id"]),
         _links("tool", F.filter("conversation_metadata.tools_used", lambda t: t.isNotNull()), share, lambda t: t),
         _links("node", F.col("nodes"), share, lambda n: n["node_id"]),
-        _links("edge", F.filter("nodes", lambda n: F.array_contains("keys", n["parent"])), lambda n: n["parent"], lambda n: n["node_id"]),
+        _links("edge", F.filter("nodes", lambda n: n["parent"].isNotNull() & ~F.array_contains("unknown", n["parent"])), lambda n: n["parent"], lambda n: n["node_id"]),
         _below("part", "parts", pos),
         _below("thought", "thoughts", pos),
         _below("citation", "citations", pos),
         _below("attachment", "attachments", lambda p: F.try_variant_get(p["x"], "$.id", "string")),
     )
-    flat = with_nodes(raw).withColumn("keys", keys).select("share_id", F.inline(F.array_distinct(links)))
+    flat = with_nodes(raw).withColumn("unknown", unknown).select("share_id", F.inline(links))
     return flat.filter("child_key is not null").distinct()
 
 

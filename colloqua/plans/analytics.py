@@ -221,16 +221,64 @@ def conversation_summary(spark: SparkSession, d: str) -> DataFrame:
     return structure.summary(flat).withColumns({c: F.round(c, 3) for c in ("first_message_time", "last_message_time", "duration_seconds")})
 
 
-@query("payload_messages")
+_PAYLOAD = """p AS (SELECT share_id, fetched_at, CASE WHEN json_valid(api_response) THEN CASE WHEN json_type(api_response) = 'VARCHAR' THEN CASE WHEN json_valid(api_response::JSON ->> '$') THEN (api_response::JSON ->> '$')::JSON END ELSE api_response::JSON END END AS v FROM conversations_raw WHERE fetch_success),
+k AS (SELECT share_id, fetched_at, v, unnest(json_keys(v, '$.mapping')) AS node_id FROM p WHERE json_type(v, '$.mapping') = 'OBJECT'),
+node AS (SELECT DISTINCT share_id, fetched_at, node_id, json_extract(v, '$.mapping."' || node_id || '"') AS n FROM k)"""
+
+
+def _js(path: str) -> str:
+    return f"CASE WHEN json_type(n, '$.{path}') NOT IN ('OBJECT', 'ARRAY', 'NULL') THEN n ->> '$.{path}' END"
+
+
+def _jlen(path: str) -> str:
+    return f"CASE json_type(n, '$.{path}') WHEN 'ARRAY' THEN nullif(json_array_length(n, '$.{path}'), 0) WHEN 'OBJECT' THEN 1 END::INT"
+
+
+_JPART = "list_transform(list_filter(json_extract(n, '$.message.content.parts[*]'), lambda x: json_type(x) <> 'NULL'), lambda x: x ->> '$')"
+_MESSAGE_COLUMNS = ("share_id", "node_id", "parent", "n_children", "id", "role", "author_name", "create_time", "content_type", "text", "code", "language", "n_thoughts", "status", "weight", "is_visually_hidden", "is_redacted", "end_turn", "recipient", "channel", "model_slug", "gizmo_id", "message_type", "request_id", "reasoning_duration_sec", "n_citations", "n_content_references", "n_attachments", "execution_status", "execution_output", "latency_ms")
+
+
+def _flag(name: str) -> str:
+    return f"coalesce(({_js('message.metadata.' + name)})::BOOLEAN, false)"
+
+
+@query("payload_messages", f"""WITH {_PAYLOAD} SELECT DISTINCT share_id, node_id, {_js('parent')} AS parent, {_jlen('children')} AS n_children, {_js('message.id')} AS id, {_js('message.author.role')} AS role, {_js('message.author.name')} AS author_name, ({_js('message.create_time')})::DOUBLE AS create_time,
+ {_js('message.content.content_type')} AS content_type, regexp_replace(array_to_string(CASE WHEN json_type(n, '$.message.content.parts') = 'ARRAY' THEN {_JPART} END, chr(10) || chr(10)), '\\{{"[^{{}}]*\\}}', '{{}}', 'g') AS text, CASE WHEN {_js('message.content.content_type')} = 'code' THEN nullif({_js('message.content.text')}, '') END AS code, nullif({_js('message.content.language')}, '') AS language, {_jlen('message.content.thoughts')} AS n_thoughts,
+ {_js('message.status')} AS status, ({_js('message.weight')})::DOUBLE AS weight, {_flag('is_visually_hidden_from_conversation')} AS is_visually_hidden, {_flag('is_redacted')} AS is_redacted, ({_js('message.end_turn')})::BOOLEAN AS end_turn, {_js('message.recipient')} AS recipient, {_js('message.channel')} AS channel,
+ {", ".join(f"nullif({_js('message.metadata.' + c)}, '') AS {c}" for c in ("model_slug", "gizmo_id", "message_type", "request_id"))}, nullif(({_js('message.metadata.finished_duration_sec')})::DOUBLE, 0) AS reasoning_duration_sec, {", ".join(f"{_jlen('message.metadata.' + c)} AS n_{c}" for c in structure.LISTS)},
+ {_js('message.metadata.aggregate_result.status')} AS execution_status, {_js('message.metadata.aggregate_result.final_expression_output')} AS execution_output, ({_js('message.metadata.sonic_classification_result.latency_ms')})::DOUBLE AS latency_ms FROM node WHERE json_type(n, '$.message') = 'OBJECT'""")
 def payload_messages(spark: SparkSession, d: str) -> DataFrame:
-    return structure.extracted(table(spark, d, "conversations_raw").filter("fetch_success"))
+    """Objects among the parts of a text are shown as {}, because the order of their keys is not kept."""
+    m = structure.extracted(table(spark, d, "conversations_raw").filter("fetch_success"))
+    return m.withColumn("text", F.regexp_replace("text", r'\{"[^{}]*\}', "{}")).select(*_MESSAGE_COLUMNS).distinct()
+
+
+@query("payload_order", f"""WITH {_PAYLOAD}, m AS (SELECT DISTINCT share_id, fetched_at, node_id, coalesce(({_js('message.create_time')})::DOUBLE, 0) AS t FROM node WHERE json_type(n, '$.message') = 'OBJECT') SELECT share_id, fetched_at, rank() OVER (PARTITION BY share_id, fetched_at ORDER BY t) - 1 AS first_index, t, count(*) AS n FROM m GROUP BY share_id, fetched_at, t""".replace("rank() OVER (PARTITION BY share_id, fetched_at ORDER BY t) - 1", "(coalesce(sum(count(*)) OVER (PARTITION BY share_id, fetched_at ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT"))
+def payload_order(spark: SparkSession, d: str) -> DataFrame:
+    m = structure.extracted(table(spark, d, "conversations_raw").filter("fetch_success"))
+    return m.groupBy("share_id", "fetched_at", F.coalesce("create_time", F.lit(0.0)).alias("t")).agg(F.min("backend_index").alias("first_index"), F.count("*").alias("n"))
 
 
-@query("payload_features")
+_MIME = "list_filter(list_transform(CASE json_type(n, '$.message.metadata.attachments') WHEN 'ARRAY' THEN json_extract(n, '$.message.metadata.attachments[*]') WHEN 'OBJECT' THEN [json_extract(n, '$.message.metadata.attachments')] END, lambda a: a ->> '$.mime_type'), lambda m: m <> '')"
+
+
+@query("payload_features", f"""WITH {_PAYLOAD}, f AS (SELECT DISTINCT share_id, node_id, {_js('message.content.content_type')} AS kind, CASE WHEN {_js('message.author.role')} = 'tool' THEN nullif({_js('message.author.name')}, '') END AS tool, coalesce({_jlen('message.metadata.attachments')}, 0) AS files, {_MIME} AS mime,
+ CASE WHEN {_js('message.content.content_type')} = 'thoughts' THEN ({_js('message.metadata.finished_duration_sec')})::DOUBLE END AS seconds, coalesce({_jlen('message.metadata.citations')}, 0) AS citations, nullif({_js('message.metadata.gizmo_id')}, '') AS gizmo, coalesce({_jlen('children')}, 0) > 1 AS branch, ({_js('message.id')}) IS NOT NULL AS message, {_flag('is_visually_hidden_from_conversation')} AS hidden, {_flag('is_redacted')} AS redacted FROM node)
+SELECT share_id, count(DISTINCT node_id) AS mapping_size, count(*) FILTER (kind = 'model_editable_context') > 0 AS has_custom_instructions, coalesce(string_agg(DISTINCT tool, '|' ORDER BY tool), '') AS tools_used, count(tool) AS tool_call_count, sum(files)::BIGINT AS file_count, array_to_string(list_sort(list_distinct(flatten(coalesce(list(mime) FILTER (mime IS NOT NULL), [])))), '|') AS file_types,
+ count(*) FILTER (kind = 'thoughts') AS reasoning_message_count, coalesce(sum(seconds), 0.0) AS total_thinking_seconds, count(*) FILTER (kind = 'code') AS code_block_count, count(*) FILTER (kind = 'execution_output') AS code_execution_count, sum(citations)::BIGINT AS citation_count, count(gizmo) > 0 AS custom_gpt_used, coalesce(string_agg(DISTINCT gizmo, '|' ORDER BY gizmo), '') AS gizmo_ids, count(*) FILTER (branch) AS branch_count,
+ count(*) FILTER (message) AS total_messages, count(*) FILTER (message AND hidden) AS hidden_messages, count(*) FILTER (message AND redacted) AS redacted_messages FROM f GROUP BY share_id""")
 def payload_features(spark: SparkSession, d: str) -> DataFrame:
     return structure.metadata_features(table(spark, d, "conversations_raw").filter("fetch_success"))
 
 
+@query("payload_kinds", "SELECT CASE WHEN json_valid(api_response) THEN CASE json_type(api_response) WHEN 'VARCHAR' THEN 'twice' WHEN 'OBJECT' THEN 'object' ELSE 'other' END WHEN api_response IS NULL THEN 'none' ELSE 'unreadable' END AS kind, count(*) AS n FROM conversations_raw GROUP BY 1")
+def payload_kinds(spark: SparkSession, d: str) -> DataFrame:
+    """Tolerant parse: what each payload turns out to be."""
+    kind = F.schema_of_variant(F.try_parse_json("api_response"))
+    named = F.when(kind == "STRING", "twice").when(kind.startswith("OBJECT"), "object").when(kind.isNotNull(), "other").when(F.col("api_response").isNull(), "none").otherwise("unreadable")
+    return table(spark, d, "conversations_raw").groupBy(named.alias("kind")).agg(F.count("*").alias("n"))
+
+
 @query("clean_markdown")
 def clean_markdown(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", T.without_notice(T.clean_markdown(F.col("text"))).alias("text")).distinct()
