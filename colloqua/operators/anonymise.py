@@ -15,10 +15,21 @@ from pyspark.sql import functions as F
 ENTITIES = (
     ("EMAIL_ADDRESS", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}", "[email]"),
     ("PHONE_NUMBER", r"\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d(?:[ .-]?\d){5,11}|\(\d{3}\) ?\d{3}-\d{4}|\b\d{3}[.-]\d{3}[.-]\d{4}\b", "[phone]"),
-    ("PRECISE_ADDRESS", r"\b\d{1,5} (?:[A-Z][A-Za-z]+ ){1,3}(?:Street|St|Road|Rd|Avenue|Ave|Lane|Ln|Drive|Dr|Boulevard|Blvd|Close|Court|Way|Place)\b\.?|\b[A-Z][A-Za-z]+(?:strasse|vej|gade|weg|gasse|straat|laan) \d{1,4}\b|\b(?:Apt|Apartment|Unit|Suite|Flat)\.? \d{1,5}[A-Z]?\b|\b(?:ZIP|Postal Code|Postcode):? \d{4,5}\b", "[address]"),
+    ("PRECISE_ADDRESS", r"\b\d{1,5} (?:[A-Z][A-Za-z]+ ){1,3}(?:Street|St|Road|Rd|Avenue|Ave|Lane|Ln|Drive|Dr|Boulevard|Blvd|Close|Court|Way|Place)\b\.?|\b[A-Z][A-Za-z]+(?:strasse|vej|gade|weg|gasse|straat|laan) \d{1,4}\b|\b(?:Apt|Apartment|Unit|Suite|Flat)\.? \d{1,5}[A-Z]?\b|\b(?:ZIP|Postal Code|Postcode):? \d{4,5}\b|\bDK-\d{4}\b", "[address]"),
 )
 
 
+def high_risk(span: Column) -> Column:
+    """A mention of digits alone is none, whatever kind it was taken for."""
+    return span.rlike("[^0-9]")
+
+
+def spans(df: DataFrame, key: str, column: str) -> DataFrame:
+    """entity, key, span of every high-risk mention."""
+    found = F.concat(*[F.transform(F.regexp_extract_all(column, F.lit(pattern), F.lit(0)), lambda s, n=name: F.struct(F.lit(n).alias("entity"), s.alias("span"))) for name, pattern, _ in ENTITIES])
+    return df.filter(F.col(column).isNotNull()).select(key, F.inline(found)).filter(high_risk(F.col("span"))).select("entity", key, "span")
+
+
 def anonymised(text: Column) -> Column:
     for _, pattern, placeholder in ENTITIES:
         text = F.regexp_replace(text, F.lit(pattern), F.lit(placeholder))

@@ -26,6 +26,17 @@ def with_site(permalink: Column, site: str) -> Column:
     return F.when(permalink != "", F.when(F.startswith(permalink, F.lit("http")), permalink).otherwise(F.concat(F.lit(site), permalink)))
 
 
+def normalised_comments(comments: DataFrame, site: str) -> DataFrame:
+    """Comments in one form, with the links and the post they were found by."""
+    names = ("id", "name", "subreddit", "author", "created_utc", "body", "score", "link_id", "parent_id")
+    return comments.select(*names, with_site(F.col("permalink"), site).alias("permalink"), "share_urls", "source_post_id")
+
+
+def with_links(comments: DataFrame) -> DataFrame:
+    """Comments with at least one share link."""
+    return comments.filter(F.size("share_urls") > 0)
+
+
 def latest(rows: DataFrame, key: str = "id", by: str = "ingested_at") -> DataFrame:
     """One row per key, the latest; rows of a null key are dropped."""
     names = [c for c in rows.columns if c not in (key, by)]
@@ -79,8 +90,3 @@ def first_source(raw: DataFrame) -> DataFrame:
 def last_cursor(rows: DataFrame) -> DataFrame:
     """The last non-null ``created_utc``, from which paging goes on."""
     return rows.filter("created_utc is not null").agg(F.min("created_utc").alias("cursor"))
-
-
-def keep_first(rows: DataFrame, key: str, order: str) -> DataFrame:
-    w = Window.partitionBy(key).orderBy(order)
-    return rows.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")

@@ -22,6 +22,39 @@ def tools_flag(value: Column) -> Column:
     return F.coalesce(~F.trim(value).isin("", "[]", "na", "null"), F.lit(False))
 
 
+def finite(value: Column) -> Column:
+    """Neither null nor NaN nor infinite."""
+    return value.isNotNull() & ~F.isnan(value) & (F.abs(value) < F.lit(float("inf")))
+
+
+def fmt_n(value: Column) -> Column:
+    """A number with thousands separated and at most two decimals."""
+    return F.format_number(value.cast("double"), "#,##0.##")
+
+
+def fmt_pct(share: Column) -> Column:
+    return F.format_string("%.1f%%", F.round(100.0 * share, 1))
+
+
+def topic_labels(rows: DataFrame, topic: str, keywords: str) -> DataFrame:
+    """topic, label: the first two keywords and the number of conversations; keyed by topic, so equal labels do not merge topics."""
+    first = rows.groupBy(topic).agg(F.min(keywords).alias("k"), F.countDistinct("conv_id").alias("n"))
+    return first.select(topic, F.concat(F.array_join(F.slice(F.split("k", " / "), 1, 2), ", "), F.lit(" (n="), F.col("n"), F.lit(")")).alias("label"))
+
+
+def marginal_means(estimates: DataFrame, *by: str) -> DataFrame:
+    """Mean estimate and root mean square error."""
+    return estimates.groupBy(*by).agg(F.avg("estimate").alias("estimate"), F.sqrt(F.avg(F.col("std_error") * F.col("std_error"))).alias("std_error"))
+
+
+def grid(rows: DataFrame, by: list[str], turn: str, turns: int) -> DataFrame:
+    """Every combination of the values of ``by`` with turns 1 to ``turns``; values are few, so each factor is broadcast by its size."""
+    out = rows.select(by[0]).distinct()
+    for c in by[1:]:
+        out = out.crossJoin(rows.select(c).distinct())
+    return out.withColumn(turn, F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(turns).cast("bigint"))))
+
+
 def within_length(turns: DataFrame, least: int = 2, quantile: float = 0.95) -> DataFrame:
     """Turns of conversations with at least ``least`` turns and at most the quantile of lengths (interpolated)."""
     lengths = turns.groupBy("conv_id").agg(F.count("*").alias("n_turns"))
