@@ -26,7 +26,11 @@ def high_risk(span: Column) -> Column:
 
 def spans(df: DataFrame, key: str, column: str) -> DataFrame:
     """entity, key, span of every high-risk mention."""
-    found = F.concat(*[F.transform(F.regexp_extract_all(column, F.lit(pattern), F.lit(0)), lambda s, n=name: F.struct(F.lit(n).alias("entity"), s.alias("span"))) for name, pattern, _ in ENTITIES])
+
+    def of(name: str, pattern: str) -> Column:
+        return F.transform(F.regexp_extract_all(column, F.lit(pattern), F.lit(0)), lambda s: F.struct(F.lit(name).alias("entity"), s.alias("span")))
+
+    found = F.concat(*[of(name, pattern) for name, pattern, _ in ENTITIES])
     return df.filter(F.col(column).isNotNull()).select(key, F.inline(found)).filter(high_risk(F.col("span"))).select("entity", key, "span")
 
 

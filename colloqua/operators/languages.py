@@ -36,7 +36,8 @@ def detected(shares: DataFrame, detector: Callable[[str], tuple[str, float]] | N
     text = shares.select("share_id", spoken_text(F.col("messages")).alias("t")).withColumn("n_chars", F.length("t"))
     if detector is None:
         words = F.filter(F.split(F.lower("t"), r"[^\p{L}]+"), lambda w: w != "")
-        counted = text.withColumn("w", words).select("share_id", "n_chars", *[F.size(F.filter("w", lambda x, ws=ws: x.isin(*ws.split()))).alias(la) for la, ws in STOP_WORDS.items()])
+        listed = lambda ws: F.size(F.filter("w", lambda x: x.isin(*ws.split())))
+        counted = text.withColumn("w", words).select("share_id", "n_chars", *[listed(ws).alias(la) for la, ws in STOP_WORDS.items()])
         best, total = F.greatest(*STOP_WORDS), sum((F.col(la) for la in STOP_WORDS), F.lit(0))
         told = F.when(total > 0, F.coalesce(*[F.when(F.col(la) == best, la) for la in STOP_WORDS]))
         scored = counted.select("share_id", "n_chars", told.alias("language"), F.when(total > 0, best / total).alias("confidence"))

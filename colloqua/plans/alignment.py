@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from colloqua.operators import anonymise, collect, languages, measures, merge, pairs, stats, structure
 from colloqua.plans.analytics import _MEASURED, _MSG, _PAIR, _POS, _SEM, _SITE, _WS, _messages, _r, _semantic
-from colloqua.session import table
+from colloqua.session import checkpoint, table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -80,7 +80,7 @@ def _wide(spark: SparkSession, d: str) -> DataFrame:
 
 @query("message_rows", f"""WITH {_WIDE}, v AS (SELECT share_id, r, CASE WHEN json_valid(r.a) THEN CASE WHEN json_type(r.a) = 'VARCHAR' THEN CASE WHEN json_valid(r.a::JSON ->> '$') THEN (r.a::JSON ->> '$')::JSON END ELSE r.a::JSON END END AS v FROM wide),
 f AS (SELECT share_id, r, v, unnest(r.m) AS m, generate_subscripts(r.m, 1) - 1 AS pos FROM v),
-t AS (SELECT *, CASE WHEN m.text IS NULL OR NOT regexp_matches(m.text, '[^{_WS}]') THEN nullif(array_to_string(list_filter(list_transform(list_filter(json_extract(v, '$.mapping."' || m.node_id || '".message.content.parts[*]'), lambda x: json_type(x) = 'VARCHAR'), lambda x: x ->> '$'), lambda x: regexp_matches(x, '[^{_WS}]')), ' '), '') ELSE m.text END AS text FROM f)
+t AS (SELECT *, CASE WHEN m.text IS NULL OR NOT regexp_matches(m.text, '[^{_WS}]') THEN nullif(array_to_string(list_filter(list_transform(list_filter(json_extract(json_extract(v, '$.mapping."' || m.node_id || '"'), '$.message.content.parts[*]'), lambda x: json_type(x) = 'VARCHAR'), lambda x: x ->> '$'), lambda x: regexp_matches(x, '[^{_WS}]')), ' '), '') ELSE m.text END AS text FROM f)
 SELECT share_id AS conv_id, pos, m.backend_index AS backend_index, {_ROLEM} AS role, text, r.c.title AS title, r.c.create_time AS conversation_create_time, r.l AS conversation_language, {_SUBS} AS subreddits, coalesce(nullif(m.model_slug, ''), r.c.default_model_slug) AS model_slug FROM t WHERE {_ROLEM} IN ('user', 'assistant') AND text IS NOT NULL AND m.backend_index IS NOT NULL""")
 def message_rows(spark: SparkSession, d: str) -> DataFrame:
     return pairs.message_rows(_wide(spark, d)).withColumn("pos", F.col("pos").cast("bigint"))
@@ -92,6 +92,7 @@ def message_rows(spark: SparkSession, d: str) -> DataFrame:
 def _merged_full(spark: SparkSession, d: str) -> DataFrame:
     """Pairs with their conversation's metadata, left-joined with a table a measure, features and topics."""
     scored = measures.pos_jaccard(measures.measured(pairs.turn_pairs(_messages(spark, d))))
+    scored = checkpoint(scored.drop("user_text", "assistant_text"))  # four tables are cut from it
     guards = ["conv_id", "turn", "user_cross_check_5", "assistant_cross_check_5"]
     base = scored.select(*guards, "direction", "model_slug", "n_tokens_total")
     lsm = scored.select(*guards, "direction", "lsm_score")
