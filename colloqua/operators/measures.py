@@ -122,18 +122,20 @@ def unique_messages(pairs: DataFrame) -> DataFrame:
     return side("user").unionByName(side("assistant")).filter("message_id is not null").groupBy("message_id").agg(F.max("text").alias("text"))
 
 
-def hashed_embedding(text: Column, slots: int = 64) -> Column:
-    """Unit vector of hashed word counts (first 32 bits of md5 modulo ``slots``); the default in place of a neural embedder. Zero without words."""
-    at = F.transform(words(F.lower(text)), lambda w: (F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("long") % slots).cast("int"))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(slots - 1)), lambda i: F.size(F.filter(at, lambda x: x == i)).cast("double"))
-    norm = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda t, x: t + x * x))
-    return F.transform(counts, lambda x: F.when(norm > 0, x / norm).otherwise(F.lit(0.0)))
+def hashed_embeddings(messages: DataFrame, slots: int = 64) -> DataFrame:
+    """message_id, embedding: unit vector of hashed word counts (first 32 bits of md5 modulo ``slots``), the default in place of a
+    neural embedder; a text without words has none."""
+    said = messages.select("message_id", F.explode(words(F.lower("text"))).alias("w"))
+    slot = (F.conv(F.substring(F.md5("w"), 1, 8), 16, 10).cast("long") % slots).cast("int")
+    counts = said.groupBy("message_id", slot.alias("slot")).agg(F.count("*").cast("double").alias("n"))
+    rows = counts.groupBy("message_id").agg(F.map_from_entries(F.collect_list(F.struct("slot", "n"))).alias("m"), F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("norm"))  # at most ``slots`` entries
+    return rows.select("message_id", F.transform(F.sequence(F.lit(0), F.lit(slots - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)) / F.col("norm")).alias("embedding"))
 
 
 def embedded(messages: DataFrame, embedder: Callable[[list[str]], list] | None = None, batch: int = 256) -> DataFrame:
     """message_id, embedding of unique messages by a Python embedder of batches, loaded once per worker, or by hashing."""
     if embedder is None:
-        return messages.select("message_id", hashed_embedding(F.col("text")).alias("embedding"))
+        return hashed_embeddings(messages)
 
     @F.pandas_udf("array<double>")
     def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

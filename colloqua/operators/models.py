@@ -82,6 +82,33 @@ def convergence(draws: DataFrame) -> DataFrame:
     return across.select("metric", "topic", F.sqrt(total / F.nullif("w", F.lit(0.0))).alias("rhat"), F.least(F.col("n") * F.col("c"), F.col("c") * total / F.nullif("b", F.lit(0.0))).alias("ess"))
 
 
+def predictive(draws: DataFrame, rows: DataFrame, bins: int = 20, most: int = 100) -> DataFrame:
+    """metric, bin, observed and replicated shares: a histogram of ``value`` against what ``most`` posterior draws predict.
+
+    A topic's rows are normal around its effect with both scales, so a draw's share in a bin is exact and nothing is simulated.
+    """
+    from math import erf, sqrt
+
+    edges = np.linspace(-3, 3, bins + 1)[1:-1].tolist()
+    at = F.lit(0)
+    for e in edges:
+        at = at + (F.col("value") > e).cast("int")
+    seen = rows.filter("value is not null").groupBy("metric", "topic", at.alias("bin")).agg(F.count("*").alias("n"))
+    kept = draws.filter((F.col("chain") == 0) & (F.col("draw") < most))
+
+    def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        total = max(left["n"].sum(), 1)
+        observed = left.groupby("bin")["n"].sum().reindex(range(bins), fill_value=0) / total
+        weight = left.groupby("topic")["n"].sum() / total
+        wide = right.pivot(index="draw", columns="topic", values="value")
+        sd = np.sqrt(wide[".conv_sd"] ** 2 + wide[".residual_sd"] ** 2)
+        below = lambda e: sum(w * np.mean([0.5 * (1 + erf((e - m) / (s * sqrt(2)))) for m, s in zip(wide[t], sd)]) for t, w in weight.items() if t in wide)
+        cuts = np.array([0.0, *map(below, edges), 1.0])
+        return pd.DataFrame({"metric": key[0], "bin": range(bins), "observed": observed.to_numpy(), "replicated": np.diff(cuts)})
+
+    return seen.groupBy("metric").cogroup(kept.groupBy("metric")).applyInPandas(run, "metric string, bin int, observed double, replicated double")
+
+
 def smooth(rows: DataFrame, by: str, x: str, y: str, knots: int = 8, penalty: float = 1.0) -> DataFrame:
     """Penalised spline of ``y`` on ``x`` for each value of ``by``: by, x, fit, std_error.
 

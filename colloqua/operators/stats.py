@@ -29,11 +29,11 @@ def finite(value: Column) -> Column:
 
 def fmt_n(value: Column) -> Column:
     """A number with thousands separated and at most two decimals."""
-    return F.format_number(value.cast("double"), "#,##0.##")
+    return F.call_function("format_number", value.cast("double"), F.lit("#,##0.##"))
 
 
 def fmt_pct(share: Column) -> Column:
-    return F.format_string("%.1f%%", F.round(100.0 * share, 1))
+    return F.when(share.isNotNull(), F.format_string("%.1f%%", F.round(100.0 * share, 1)))
 
 
 def topic_labels(rows: DataFrame, topic: str, keywords: str) -> DataFrame:
@@ -166,6 +166,15 @@ def intervals(draws: DataFrame, *by: str, level: float = 0.89) -> DataFrame:
     return draws.groupBy(*by).agg(q.alias("q"), F.avg((F.col("value") > 0).cast("double")).alias("p_pos"), F.avg((F.col("value") < 0).cast("double")).alias("p_neg")).select(*by, F.col("q")[0].alias("lower"), F.col("q")[1].alias("median"), F.col("q")[2].alias("upper"), "p_pos", "p_neg")
 
 
+def topic_table(draws: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Intervals, rank probabilities and sizes of each topic, its median over all metrics and the spread of its medians."""
+    real = draws.filter(~F.startswith("topic", F.lit(".")))
+    numbered = real.withColumn("draw", F.concat_ws("_", "chain", "draw"))
+    medians = intervals(real, "metric", "topic")
+    across = medians.groupBy("topic").agg(F.median("median").alias("overall_median"), F.stddev_samp("median").alias("dispersion"))
+    return medians.join(rank_probabilities(numbered), ["metric", "topic"], "left").join(sizes, "topic", "left").join(across, "topic", "left")
+
+
 def rank_probabilities(draws: DataFrame, best: int = 3) -> DataFrame:
     ranked = draws.withColumn("rank", average_rank(F.col("value"), "metric", "draw"))
     return ranked.groupBy("metric", "topic").agg(F.avg((F.col("rank") == 1).cast("double")).alias("p_first"), F.avg((F.col("rank") <= best).cast("double")).alias("p_top"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from colloqua.functions import text as T
 from colloqua.functions.lexicons import FUNCTION_WORDS, NEGATIVE, POSITIVE
 from colloqua.operators import anonymise, collect, measures, merge, models, pairs, stats, structure
-from colloqua.session import table
+from colloqua.session import checkpoint, table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -591,10 +591,37 @@ def weighted_topic_means(spark: SparkSession, d: str) -> DataFrame:
     return m.select("metric", "direction", "abs_turn", _r("estimate"), _r("std_error"))
 
 
+def _standard(spark: SparkSession, d: str) -> DataFrame:
+    long = stats.long_form(_merged(spark, d).filter("topic is not null"), ["conv_id", "topic"], METRICS).filter("value is not null")
+    return checkpoint(stats.standardised(long).select("metric", "topic", "conv_id", F.col("z").alias("value")))
+
+
+def _real_draws(rows: DataFrame) -> DataFrame:
+    return models.gibbs(rows, chains=4, iterations=4000, warmup=1000)
+
+
 @query("bayes_topic_effects")
 def bayes_topic_effects(spark: SparkSession, d: str) -> DataFrame:
-    z = stats.standardised(stats.long_form(_merged(spark, d).filter("topic is not null"), ["conv_id", "topic"], METRICS).filter("value is not null"))
-    return stats.intervals(models.gibbs(z.select("metric", "topic", "conv_id", F.col("z").alias("value")), chains=4, iterations=4000, warmup=1000), "metric", "topic")
+    return stats.intervals(_real_draws(_standard(spark, d)), "metric", "topic")
+
+
+@query("bayes_convergence")
+def bayes_convergence(spark: SparkSession, d: str) -> DataFrame:
+    """Worst rhat and least effective sample size of each metric's parameters."""
+    c = models.convergence(_real_draws(_standard(spark, d)))
+    return c.groupBy("metric").agg(F.max("rhat").alias("max_rhat"), F.min("ess").alias("min_ess"))
+
+
+@query("bayes_topic_table")
+def bayes_topic_table(spark: SparkSession, d: str) -> DataFrame:
+    rows = _standard(spark, d)
+    return stats.topic_table(_real_draws(rows), rows.groupBy("topic").agg(F.countDistinct("conv_id").alias("n_convs")))
+
+
+@query("posterior_predictive")
+def posterior_predictive(spark: SparkSession, d: str) -> DataFrame:
+    rows = _standard(spark, d)
+    return models.predictive(models.gibbs(rows, chains=1, iterations=1100, warmup=1000), rows)
 
 
 @query("turn_trajectories")

@@ -20,7 +20,7 @@ from colloqua.sources import files, paged
 from colloqua.streaming import ingest
 
 SF = "/root/testdata/sf0.001"
-ORACLE = ("turn_pairs", "turn_pairs_lsm", "lexical_jaccard", "structural_features", "share_targets", "merged_metrics", "rolling_correlations", "rank_probabilities", "redact", "strip_tables")
+ORACLE = ("payload_messages", "payload_features", "message_rows", "conversation_language_guess", "entity_spans", "hashed_similarity", "merged_full", "summary_table", "turn_pairs", "turn_pairs_lsm", "lexical_jaccard", "structural_features", "share_targets", "merged_metrics", "rolling_correlations", "rank_probabilities", "redact", "strip_tables")
 
 
 @pytest.mark.parametrize("name", ORACLE)
@@ -247,3 +247,47 @@ def test_anonymise(spark):
 
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0 and os.path.isdir(SF)
+
+
+def test_message_rows_fall_back_to_parts(spark):
+    """Blank text takes the payload's parts, also of a payload encoded twice; no role, index or text gives no row."""
+    import json
+
+    from colloqua.operators import structure
+
+    payload = json.dumps({"mapping": {"n1": {"id": "n1", "message": {"id": "n1", "content": {"content_type": "text", "parts": ["a", " ", None, "b"]}, "metadata": {"attachments": {"id": "x", "mime_type": "a/b"}, "model_slug": ""}}, "children": ["n2", "n3"]}, "n2": {"id": "n2", "message": None}}})
+    messages = [("n1", "bot", " ", 0, ""), ("n2", "user", None, 1, None), ("n3", "user", "c", None, "m"), ("n4", "human", "d", 3, "m"), ("n5", None, "e", 4, None)]
+    schema = "share_id string, fetched_at bigint, fetch_success boolean, messages array<struct<node_id string, role string, text string, backend_index int, model_slug string>>, conversation_metadata struct<title string, create_time double, default_model_slug string>, conversation_language string, reddit_sources array<struct<subreddit string>>, api_response string, pos int"
+    raw = spark.createDataFrame([("s", 1, True, messages, ("t", 1.0, "base"), "en", [("b",), ("a",), ("b",), (None,)], p, 0) for p in (payload, json.dumps(payload))][:2] + [("z", None, True, None, None, None, None, "{cut", 0), (None, 1, True, messages, None, None, None, None, 0)], schema)
+    for shares in (raw.limit(1), raw.filter("share_id = 's'").orderBy("api_response").limit(1)):
+        got = {(r["pos"], r["role"], r["text"], r["model_slug"], r["subreddits"]) for r in pairs.message_rows(shares).collect()}
+        assert got == {(0, "assistant", "a b", "base", "a|b"), (3, "user", "d", "m", "a|b")}
+    assert pairs.latest_fetch(raw, "messages").count() == 1
+    m = structure.extracted(raw.limit(1), keep_raw=True).collect()
+    assert len(m) == 1 and m[0]["n_attachments"] == 1 and m[0]["model_slug"] is None and m[0]["n_children"] == 2 and "parts" in m[0]["raw_content"]
+    f = {r["share_id"]: r for r in structure.metadata_features(raw).collect()}
+    assert f["s"]["branch_count"] == 1 and f["s"]["file_types"] == "a/b" and f["s"]["mapping_size"] == 2
+    assert structure.extracted(raw.limit(0)).count() == 0 and structure.metadata_features(raw.limit(0)).count() == 0 and pairs.message_rows(raw.limit(0)).count() == 0
+
+
+def test_plug_ins_and_formats(spark):
+    from colloqua.operators import languages, measures, stats
+
+    df = spark.createDataFrame([("m1", "Good day"), ("m2", None), ("m3", "")], "message_id string, text string")
+    assert [r["s"] for r in measures.scored(df, "text", "s", lambda ts: [float(len(t or "")) for t in ts], 2).orderBy("message_id").collect()] == [8.0, 0.0, 0.0]
+    assert measures.embedded(df, lambda ts: [[1.0, len(t)] for t in ts]).count() == 3 and measures.embedded(df).count() == 1
+    pairs_ = spark.createDataFrame([("m1", "mx", None, "x")], "user_message_id string, assistant_message_id string, user_cross_check_5 string, assistant_cross_check_5 string")
+    assert tuple(measures.with_cross_checks(pairs_, df).select("user_cross_check_5", "assistant_cross_check_5").first()) == ("Good ", "x")
+    n = spark.createDataFrame([(1234567.5, 0.12345), (3.0, None), (None, 1.0)], "n double, p double")
+    assert [tuple(r) for r in n.select(stats.fmt_n(F.col("n")), stats.fmt_pct(F.col("p"))).collect()] == [("1,234,567.5", "12.3%"), ("3", None), (None, "100.0%")]
+    v = spark.createDataFrame([(1.0,), (float("nan"),), (float("inf"),), (None,)], "x double")
+    assert v.filter(stats.finite(F.col("x"))).count() == 1
+    shares = spark.createDataFrame([("s", [("user", "bonjour tout le monde")]), ("e", None)], "share_id string, messages array<struct<role string, text string>>")
+    got = {r["share_id"]: (r["language"], r["low_confidence"]) for r in languages.detected(shares, lambda t: ("fr", 0.9)).collect()}
+    assert got == {"s": ("fr", True), "e": ("unknown", True)}
+
+
+def test_checkpoint_needs_a_shared_folder(spark):
+    from colloqua import session
+
+    assert session.checkpoint(spark.range(3)).count() == 3 and spark.sparkContext.master.startswith("local")
