@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,19 +28,34 @@ def csv_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("header", True).option("multiLine", True).option("escape", '"').csv(path)
 
 
-def write_json(df: DataFrame, path: str, append: bool = False) -> None:
-    df.write.mode("append" if append else "overwrite").json(path)
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is anything at a path of any file system Spark reads."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p))
 
 
-def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+def write(df: DataFrame, path: str, kind: str = "parquet", mode: str = "overwrite", dry_run: bool = False) -> int | None:
+    """Write ``df`` as parquet, json or csv; mode ``ignore`` leaves what exists alone. ``dry_run`` writes nothing and returns the number of rows."""
+    if dry_run:
+        return df.count()
+    options = {"header": True, "escape": '"'} if kind == "csv" else {}
+    df.write.mode(mode).options(**options).format(kind).save(path)
+    return None
 
 
 def line_count(spark: SparkSession, path: str) -> int | None:
-    """Lines of a local file or folder, None if there is none."""
-    return spark.read.text(path).count() if os.path.exists(path) else None
+    """Lines of a file or folder, None if there is none."""
+    return spark.read.text(path).count() if exists(spark, path) else None
 
 
 def cached_by_key(wanted: DataFrame, cache: DataFrame, key: str = "message_id", guards: tuple[str, ...] = ("text_hash", "model")) -> DataFrame:
     """Rows of ``wanted`` not yet in the cache under the same key, text hash and model."""
     return wanted.join(cache.select(key, *guards), [key, *guards], "left_anti")
+
+
+def extend_cache(wanted: DataFrame, path: str, compute, key: str = "message_id", guards: tuple[str, ...] = ("text_hash", "model")) -> DataFrame:
+    """The cache at ``path`` after ``compute`` has added the rows of ``wanted`` that it lacked; a row is valid for one text and model only."""
+    spark = wanted.sparkSession
+    missing = cached_by_key(wanted, spark.read.parquet(path), key, guards) if exists(spark, path) else wanted
+    compute(missing).write.mode("append").parquet(path)
+    return spark.read.parquet(path)

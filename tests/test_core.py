@@ -291,3 +291,23 @@ def test_checkpoint_needs_a_shared_folder(spark):
     from colloqua import session
 
     assert session.checkpoint(spark.range(3)).count() == 3 and spark.sparkContext.master.startswith("local")
+
+
+def test_sinks_and_cache(spark, tmp_path):
+    df = spark.createDataFrame([("m1", "h1", "a"), ("m2", "h2", "a")], "message_id string, text_hash string, model string")
+    path = str(tmp_path / "out")
+    assert files.write(df, path, dry_run=True) == 2 and not files.exists(spark, path) and files.line_count(spark, path) is None
+    for kind in ("parquet", "json", "csv"):
+        files.write(df, f"{path}_{kind}", kind)
+        files.write(df.limit(0), f"{path}_{kind}", kind, mode="ignore")
+    assert spark.read.parquet(f"{path}_parquet").count() == 2 and files.line_count(spark, f"{path}_json") == 2
+    assert files.csv_table(spark, f"{path}_csv", "message_id string, text_hash string, model string").count() == 2
+    asked = []
+
+    def compute(missing):
+        asked.append(missing.count())
+        return missing.withColumn("value", F.lit(1.0))
+
+    assert files.extend_cache(df, f"{path}_cache", compute).count() == 2
+    changed = df.withColumn("text_hash", F.when(F.col("message_id") == "m1", "other").otherwise(F.col("text_hash")))
+    assert files.extend_cache(changed, f"{path}_cache", compute).count() == 3 and asked == [2, 1]
