@@ -133,6 +133,61 @@ def smooth(rows: DataFrame, by: str, x: str, y: str, knots: int = 8, penalty: fl
     return cells.groupBy(by).applyInPandas(run, f"`{by}` {kind[by]}, `{x}` {kind[x]}, fit double, std_error double")
 
 
+def _hinges(t: np.ndarray, knots: np.ndarray) -> np.ndarray:
+    return np.column_stack([t, *[np.maximum(t - k, 0) for k in knots]])
+
+
+def additive(rows: DataFrame, knots: int = 8, own_knots: int = 4, penalty: float = 1.0, turns: int = 20) -> DataFrame:
+    """``value ~ 0 + topic x direction + s(turn) + s(turn, topic)`` per metric by penalised normal equations; columns metric, topic,
+    direction, abs_turn of ``rows``. Conversation effects are not modelled.
+
+    Rows are first aggregated to n, mean and sum of squares per topic, direction and turn, so a metric's system is as small as
+    those. Returned: kind ``term`` (one row a topic and direction: estimate, std_error; one a smooth: its effective degrees of freedom as
+    estimate) and kind ``grid`` (fit of every topic, direction and turn up to ``turns``; ``shared`` is the fit without the topic's own curve).
+    """
+    cells = rows.filter("value is not null and topic is not null").groupBy("metric", "topic", "direction", "abs_turn").agg(F.count("*").alias("n"), F.avg("value").alias("m"), F.sum(F.col("value") * F.col("value")).alias("q"))
+    names = ("metric", "kind", "topic", "direction", "abs_turn", "estimate", "std_error", "shared")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        topics, ways = sorted(pdf["topic"].unique()), sorted(pdf["direction"].unique())
+        t, n, m = pdf["abs_turn"].to_numpy(dtype=float), pdf["n"].to_numpy(dtype=float), pdf["m"].to_numpy(dtype=float)
+        at, own_at = (np.unique(np.quantile(t, np.linspace(0, 1, k + 2)[1:-1])) for k in (knots, own_knots))
+
+        def basis(topic: np.ndarray, way: np.ndarray, turn: np.ndarray) -> np.ndarray:
+            group = (topic[:, None] * len(ways) + way[:, None] == np.arange(len(topics) * len(ways))).astype(float)
+            own = _hinges(turn, own_at)
+            return np.hstack([group, _hinges(turn, at), *[own * (topic == i)[:, None] for i in range(len(topics))]])
+
+        tid, wid = pdf["topic"].map({x: i for i, x in enumerate(topics)}).to_numpy(), pdf["direction"].map({x: i for i, x in enumerate(ways)}).to_numpy()
+        x, groups, smooth_ = basis(tid, wid, t), len(topics) * len(ways), 1 + len(at)
+        ridge = np.concatenate([np.full(groups, 1e-6), [1e-6], np.full(len(at), penalty), np.full(len(topics) * (1 + len(own_at)), 4 * penalty)])
+        inverse = np.linalg.inv(x.T @ (n[:, None] * x) + np.diag(ridge))
+        beta = inverse @ (x.T @ (n * m))
+        fit = x @ beta
+        scale = max(float((pdf["q"].to_numpy() - 2 * n * m * fit + n * fit**2).sum()), 0.0) / max(n.sum() - groups - smooth_, 1.0)
+        edf = np.einsum("ij,ji->i", inverse, x.T @ (n[:, None] * x))
+        se, metric, out = np.sqrt(scale * np.diag(inverse)), pdf["metric"].iloc[0], []
+        for i, topic in enumerate(topics):
+            for j, way in enumerate(ways):
+                out.append((metric, "term", topic, way, None, beta[i * len(ways) + j], se[i * len(ways) + j], None))
+        out.append((metric, "term", "s(turn)", None, None, float(edf[groups : groups + smooth_].sum()), None, None))
+        out.append((metric, "term", "s(turn, topic)", None, None, float(edf[groups + smooth_ :].sum()), None, None))
+        g = np.array([(i, j, k) for i in range(len(topics)) for j in range(len(ways)) for k in range(1, turns + 1)])
+        b = basis(g[:, 0], g[:, 1], g[:, 2].astype(float))
+        curve, error = b @ beta, np.sqrt(scale * np.einsum("ij,jk,ik->i", b, inverse, b))
+        shared = b[:, : groups + smooth_] @ beta[: groups + smooth_]
+        out += [(metric, "grid", topics[i], ways[j], int(k), float(c), float(e), float(h)) for (i, j, k), c, e, h in zip(g, curve, error, shared)]
+        return pd.DataFrame(out, columns=names).astype({"abs_turn": "Int64"})
+
+    return cells.groupBy("metric").applyInPandas(run, "metric string, kind string, topic string, direction string, abs_turn long, estimate double, std_error double, shared double")
+
+
+def clustered(trajectories: DataFrame, clusters: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Trajectories with their topic's cluster (``Unclustered`` without one) and number of conversations; both tables have a row a topic."""
+    out = trajectories.join(clusters, "topic", "left").join(sizes, "topic", "left")
+    return out.withColumn("cluster", F.coalesce(F.col("cluster").cast("string"), F.lit("Unclustered")))
+
+
 def topic_model(messages: DataFrame, k: int = 30, words: int = 9, iterations: int = 15, seed: int = 7) -> DataFrame:
     """conv_id, view, topic_id, topic_score, keywords of the views user, assistant and combined; ``messages``: conv_id, role, text.
 

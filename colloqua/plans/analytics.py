@@ -643,6 +643,32 @@ def topic_clusters(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([(t, int(c)) for t, c in zip(p["topic"], models.ward(x, 3))], "topic string, cluster int")
 
 
+def _additive(spark: SparkSession, d: str) -> DataFrame:
+    long = stats.standardised(stats.long_form(_merged(spark, d).withColumn("abs_turn", F.abs("turn")), ["topic", "direction", "abs_turn"], METRICS))
+    plain = F.replace(F.col("direction"), F.lit("→"), F.lit("->"))
+    return models.additive(long.select("metric", "topic", plain.alias("direction"), "abs_turn", F.col("z").alias("value")))
+
+
+@query("additive_terms")
+def additive_terms(spark: SparkSession, d: str) -> DataFrame:
+    return _additive(spark, d).filter("kind = 'term'").select("metric", "topic", "direction", "estimate", "std_error")
+
+
+@query("additive_grid")
+def additive_grid(spark: SparkSession, d: str) -> DataFrame:
+    g = _additive(spark, d).filter("kind = 'grid'").select("metric", "topic", "direction", "abs_turn", "estimate", "std_error", "shared")
+    return g.withColumn("lower", F.col("estimate") - 1.96 * F.col("std_error")).withColumn("upper", F.col("estimate") + 1.96 * F.col("std_error"))
+
+
+@query("cluster_trajectories")
+def cluster_trajectories(spark: SparkSession, d: str) -> DataFrame:
+    """Mean curves of topic clusters, weighted by conversations, with the topics of each cluster."""
+    sizes = _merged(spark, d).groupBy("topic").agg(F.countDistinct("conv_id").alias("weight"))
+    rows = models.clustered(additive_grid(spark, d), topic_clusters(spark, d), sizes)
+    labels = rows.groupBy("cluster").agg(F.concat(F.lit("Cluster "), "cluster", F.lit(": "), F.array_join(F.array_sort(F.collect_set("topic")), ", ")).alias("label"))
+    return stats.weighted_means(rows, "metric", "direction", "abs_turn", "cluster").join(labels, "cluster")
+
+
 @query("event_windows", "SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def event_windows(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events")

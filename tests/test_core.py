@@ -311,3 +311,16 @@ def test_sinks_and_cache(spark, tmp_path):
     assert files.extend_cache(df, f"{path}_cache", compute).count() == 2
     changed = df.withColumn("text_hash", F.when(F.col("message_id") == "m1", "other").otherwise(F.col("text_hash")))
     assert files.extend_cache(changed, f"{path}_cache", compute).count() == 3 and asked == [2, 1]
+
+
+def test_additive_recovers_groups_and_curve(spark):
+    import numpy as np
+
+    from colloqua.operators import models
+
+    rng = np.random.default_rng(3)
+    rows = [("m", f"t{i}", d, t, i + 0.5 * (d == "b") + 0.05 * t + float(rng.normal(0, 0.1))) for i in range(3) for d in "ab" for t in range(1, 21) for _ in range(5)]
+    df = spark.createDataFrame(rows + [("m", None, "a", 1, 1.0), ("m", "t0", "a", 1, None)], "metric string, topic string, direction string, abs_turn bigint, value double")
+    out = models.additive(df).filter("kind = 'grid'").toPandas()
+    want = out.topic.str[1:].astype(int) + 0.5 * (out.direction == "b") + 0.05 * out.abs_turn
+    assert len(out) == 120 and (out.estimate - want).abs().max() < 0.15 and models.additive(df.limit(0)).count() == 0
