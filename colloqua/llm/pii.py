@@ -229,31 +229,48 @@ def _told(totals: DataFrame, base: float) -> list[np.ndarray]:
     return _sets(flags, "term", ("g", "f"))
 
 
+def _split(m: re.Match) -> tuple[str, str, str]:
+    """(context, given, family) of a match of ``_BEFORE``; the pair may be turned round by a comma."""
+    return f"{m[1]} {m[2]}", *((m[5], m[3]) if m[4] == ", " else (m[3], m[5]))
+
+
 def _before(text: str) -> Iterator[tuple[str, str, str]]:
-    """(context, given, family) of the pairs of terms after two words; the pair may be turned round by a comma."""
-    for m in _BEFORE.finditer(text.lower()):
-        yield f"{m[1]} {m[2]}", *((m[5], m[3]) if m[4] == ", " else (m[3], m[5]))
+    """(context, given, family) of the pairs of terms after two words."""
+    return map(_split, _BEFORE.finditer(text.lower()))
 
 
 def _contexts(texts: DataFrame, column: str, given: np.ndarray, family: np.ndarray) -> DataFrame:
-    """context, hits: how often two words stand before a disclosing pair."""
+    """context, hits: how often two words stand before a disclosing pair, of those that may still be learnt.
+
+    The texts read here already count many pairs after a context; the whole corpus can only add to them, so a context that leaves
+    too much doubt by these alone is never learnt and need not be counted in every text.
+    """
     shared = texts.sparkSession.sparkContext.broadcast((given, family))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        finder, hits = Finder(*shared.value), Counter()
+        finder, hits, seen = Finder(*shared.value), Counter(), Counter()
         of = finder.lexicon.__getitem__
+
+        def rows() -> Iterator[pd.DataFrame]:
+            if hits:
+                yield pd.DataFrame({"context": list(hits), "hits": list(hits.values()), "seen": [seen[c] for c in hits]})
+            hits.clear()
+            seen.clear()
+
         for pdf in batches:
             for t in pdf[column]:
                 if finder.tokens.bits(t.split()) & 3 == 3:
-                    hits.update(c for c, g, f in _before(t) if of(g) & 1 and of(f) & 2)
-            if len(hits) > FLUSH:
-                yield pd.DataFrame({"context": list(hits), "hits": list(hits.values())})
-                hits.clear()
-        if hits:
-            yield pd.DataFrame({"context": list(hits), "hits": list(hits.values())})
+                    for c, g, f in _before(t):
+                        seen[c] += 1
+                        if of(g) & 1 and of(f) & 2:
+                            hits[c] += 1
+            if len(seen) > FLUSH:
+                yield from rows()
+        yield from rows()
 
-    rows = texts.select(column).filter(F.col(column).isNotNull()).mapInPandas(count, "context string, hits long")
-    return rows.groupBy("context").agg(F.sum("hits").alias("hits")).filter(F.col("hits") >= CONTEXT_SEEN)
+    rows = texts.select(column).filter(F.col(column).isNotNull()).mapInPandas(count, "context string, hits long, seen long")
+    sums = rows.groupBy("context").agg(F.sum("hits").alias("hits"), F.sum("seen").alias("seen"))
+    return sums.filter((F.col("hits") >= CONTEXT_SEEN) & (_ratio("hits", "seen", 1.0) >= -CONTEXT_DOUBT)).drop("seen")
 
 
 def _after(texts: DataFrame, column: str, contexts: DataFrame) -> DataFrame:
@@ -263,18 +280,10 @@ def _after(texts: DataFrame, column: str, contexts: DataFrame) -> DataFrame:
     shared = texts.sparkSession.sparkContext.broadcast(held)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        first, second, whole = shared.value
-        lexicon, places, pairs = _Lexicon(whole, whole), _Places(first, second), Counter()
-        of = places.__getitem__
+        places, pairs = _Places(*shared.value), Counter()
         for pdf in batches:
             for t in pdf[column]:
-                at = list(map(of, t.split()))
-                if not any(a & 1 and b & 2 for a, b in zip(at, at[1:])) and not any(a & 4 for a in at):
-                    continue
-                low = _WORDS.findall(t.lower())
-                asked = {c for c in map(" ".join, zip(low, low[1:])) if lexicon[c]}
-                if asked:
-                    pairs.update(x for x in _before(t) if x[0] in asked)
+                pairs.update(places.after(t))
             if len(pairs) > FLUSH:
                 yield pd.DataFrame([(*k, n) for k, n in pairs.items()], columns=["context", "given", "family", "n"])
                 pairs.clear()
@@ -321,19 +330,32 @@ class _Lexicon(dict):
 
 
 class _Places(dict):
-    """Raw token -> bits: 1 it ends in the first word of a context, 2 it starts with a second word, 4 it holds a first and a second."""
+    """Raw token -> bits: 1 it ends in the first word of a context, 2 it starts with a second word, 4 it holds a first and a second, 8 it is without words."""
+
+    #: A first word and a second after it, at most a token of signs between them.
+    NEAR = re.compile(rb"[\1\3\5\7]\x08?[\2\3\6\7]|[\4-\7]")
 
-    def __init__(self, first: np.ndarray, second: np.ndarray) -> None:
-        self.first, self.second = _Lexicon(first, first), _Lexicon(second, second)
+    def __init__(self, first: np.ndarray, second: np.ndarray, whole: np.ndarray) -> None:
+        self.first, self.second, self.whole = (_Lexicon(x, x) for x in (first, second, whole))
 
     def __missing__(self, token: str) -> int:
         words = _WORDS.findall(token.lower())
-        out = (1 if words and self.first[words[-1]] else 0) | (2 if words and self.second[words[0]] else 0) | (4 if any(self.first[w] and self.second[v] for w, v in zip(words, words[1:])) else 0)
+        out = (1 if self.first[words[-1]] else 0) | (2 if self.second[words[0]] else 0) | (4 if any(self.first[w] and self.second[v] for w, v in zip(words, words[1:])) else 0) if words else 8
         if len(self) > 300_000:
             self.clear()
         self[token] = out
         return out
 
+    def after(self, text: str) -> Iterator[tuple[str, str, str]]:
+        """What ``_before`` gives for the contexts held, looked for only where their first words stand."""
+        if not self.NEAR.search(bytes(map(self.__getitem__, text.split()))):
+            return
+        low = text.lower()
+        words = list(_WORDS.finditer(low))
+        for w, v in zip(words, words[1:]):
+            if self.first[w[0]] and self.second[v[0]] and self.whole[f"{w[0]} {v[0]}"] and (m := _BEFORE.match(low, w.start())):
+                yield _split(m)
+
 
 class Finder:
     def __init__(self, given: np.ndarray, family: np.ndarray, phone: np.ndarray | None = None) -> None:

@@ -62,6 +62,43 @@ def test_contexts_and_phones_are_learnt(spark):
     assert not {r for r, _ in got} & {str(i) for i, t in enumerate(rows) if "house" in t or "order" in t}
 
 
+def _texts(spark, rows):
+    return spark.createDataFrame([("t", "f", str(i), t) for i, t in enumerate(rows)], "src_table string, field string, record_id string, text string")
+
+
+KNOWN = [("anna", "berg"), ("omar", "holm"), ("lena", "varga")]
+KNOWN_SIDES = tuple(zip(*KNOWN))
+
+
+def test_context_with_a_sign_between_its_words_is_learnt(spark):
+    rows = [f"mail {g}.{f}@example.org or write" for g, f in KNOWN] * 4 + [f"a toast - for {g} {f} tonight" for g, f in KNOWN] * 3
+    rows += ["a toast - for Rosa Quist tonight", "so call Rosa Quist now"] * 2 + ["the house is big and the garden is green"] * 60
+    got = {(r["record_id"], r["pii_type"]) for r in pii.found(_texts(spark, rows)).collect()}
+    assert {(str(i), "name") for i, t in enumerate(rows) if "Quist" in t} <= got
+
+
+def test_contexts_that_cannot_be_learnt_are_not_counted_in_every_text(spark):
+    """A phrase before names only now and then is left out as soon as the texts with names show it; what is learnt stays."""
+    rows = [f"a toast for {g} {f} tonight, and in the evening some friends went home" for g, f in KNOWN] * 3
+    rows += [f"near the {g} {f} sign, near the old house, near the red gate, near the big tree" for g, f in KNOWN]
+    known = _finder(*KNOWN_SIDES).lexicon
+    assert {(r["context"], r["hits"]) for r in pii._contexts(_texts(spark, rows), "text", known.given, known.family).collect()} == {("toast for", 9)}
+
+
+def test_asked_contexts_are_found_as_by_reading_everything():
+    rng, contexts = random.Random(3), ["toast for", "a a", "name is", "é for"]
+    sets = [_finder([c.split()[0] for c in contexts], [c.split()[1] for c in contexts]).lexicon, _finder(contexts, []).lexicon]
+    places = pii._Places(sets[0].given, sets[0].family, sets[1].given)
+    parts = ["toast", "for", "For", "a", "A", "name", "is", "É", "Anna", "Berg", "x1", "toast_for", "K."]
+    held = 0
+    for _ in range(20_000):
+        text = "".join(rng.choice(parts) + rng.choice([" ", " ", " ", " ", "\n", ", ", " - ", "-", ": \"", "--- ", " — "]) for _ in range(rng.randint(3, 12)))
+        want = [x for x in pii._before(text) if x[0] in contexts]
+        assert sorted(places.after(text)) == sorted(want), text
+        held += len(want)
+    assert held > 400
+
+
 # 2 languages
 
 
